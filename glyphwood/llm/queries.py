@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, media, quality_rules, url_filter
+from . import bpe, license_scan, media, quality_rules, url_filter
 
 QUERIES = {
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 

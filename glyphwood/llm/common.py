@@ -12,6 +12,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word: anything between ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -59,15 +61,16 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def map_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str | pa.Schema) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """df.mapInArrow with columns as Python lists in and out."""
     small_batches(df.sparkSession)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = make({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return df.mapInArrow(run, schema)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, media, quality_rules, url_filter
+from . import bpe, license_scan, media, packing, quality_rules, url_filter
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, media, packing, quality_rules, url_filter
+from . import bpe, license_scan, media, packing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": license_scan.op10_license_scan,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, media, packing, quality_rules, suffix_dedup, url_filter
+from . import bpe, license_scan, media, near_dup, packing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dup.op1_near_dedup,
     "op3_packing": packing.op3_packing,
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,
@@ -17,6 +18,7 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": near_dup.oracle(),
         "op5_url_filter": url_filter.oracle(),
         "op6_quality_rules": quality_rules.oracle(),
         "op10_license_scan": license_scan.oracle(),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, media, near_dup, packing, quality_rules, suffix_dedup, url_filter
+from . import bpe, license_scan, lm_score, media, near_dup, packing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_packing": packing.op3_packing,
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,

@@ -122,7 +122,8 @@ class Runs:
             name.append(_joined(_joined(full[at[lo]], full[at[hi]]), (hi - lo).astype(np.uint64) << np.uint64(32) | place))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.first, self.last = join(first, np.int64), join(last, np.int64)
-        self.anchor, self.name = mix(join(anchor, np.uint64)), join(name, np.uint64)
+        # anchors are least under mix(), so another mixing spreads them over the shards
+        self.anchor, self.name = mix(join(anchor, np.uint64) ^ _ODD), join(name, np.uint64)
 
 
 def window_ids(data: np.ndarray, asked: np.ndarray, length: int) -> np.ndarray:

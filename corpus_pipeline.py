@@ -1,23 +1,71 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents. Nulls: documents with a null text go at the first stage (they
+have no perplexity), documents with a null doc_id at the near-duplicate stage (nothing can name them). An empty table
+passes through as one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphwood.llm import near_dup, packing, quality_lm, quality_rules, suffix_dedup
+from glyphwood.llm.common import map_arrow, table, written
 
-from glyphwood.llm import quality_rules
-from glyphwood.llm.common import written
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is within their language's threshold."""
+    return quality_lm.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the table of rules."""
     return quality_rules.quality_filter(docs)
 
 
-STAGES = [("quality rules", rules_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document of the least id."""
+    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes that also start elsewhere. A character that is cut in two goes as a whole.
+
+    Every document stays, with what is left of its text and that text's n_chars.
+    """
+    spans = suffix_dedup.repeated_spans(docs).select("doc_id", "kept")
+
+    def make(cols: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": cols["doc_id"], "text": [k.decode("utf-8", "ignore") for k in cols["kept"]]}
+
+    texts = map_arrow(spans, make, "doc_id long, text string")
+    rest = docs.drop("text", "n_chars").join(texts, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    return rest.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces_of(docs))
+
+
+STAGES = [
+    ("quality classifier", classifier_stage),
+    ("quality rules", rules_stage),
+    ("near dedup", near_stage),
+    ("suffix dedup", suffix_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: None: perplexities, tokenizers and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after the other."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

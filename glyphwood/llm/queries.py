@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, lm_score, media, near_dup, packing, quality_rules, suffix_dedup, url_filter
+from . import bpe, license_scan, lm_score, media, near_dup, packing, quality_lm, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_media_columns": media.op4_media_columns,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_quality_lm": quality_lm.op7_quality_lm,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": license_scan.op10_license_scan,

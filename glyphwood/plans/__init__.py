@@ -1 +1 @@
-"""plans of the document-index engine."""
+"""Whole plans: from sources to a published index, and what keeps it in step."""

@@ -1 +1 @@
-"""sources of the document-index engine."""
+"""Where documents come from, and where indexes are kept."""

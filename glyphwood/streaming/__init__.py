@@ -1 +1 @@
-"""streaming of the document-index engine."""
+"""Indexes that follow a growing source by micro-batches."""

@@ -21,20 +21,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, crc, map_arrow, table
 
 CAPACITY = 2048
-#: White-space chunks whose ids a worker keeps.
-MOST_KEPT = 300_000
-#: Beyond these characters, or with U+0130, a text goes through the library whole.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ")
+#: Chunks between white space, and words, whose ids a worker keeps.
+MOST_KEPT = 600_000
+#: With other characters than these, a text goes through the library whole: ASCII, and letters and signs of Latin scripts
+#: but numerals (² to ¹, fractions) and U+0130, on which splitting or lower-casing may differ.
+ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|[²³¹¼½¾İ]")
+#: The bytes of such texts in Latin-1, where they are fast to look for.
+_PLAIN_BYTES = bytes(b for b in range(256) if not ODD.search(chr(b)))
+# The vocabulary's own division of a text into words.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Signs between a letter or digit and white space are a word of their own: apart from it, there are fewer distinct chunks.
+TRAILING = r"([\p{L}\p{N}])([^\s\p{L}\p{N}']+)(\s)", r"\1 \2\3"
+#: Marks the last token of a word.
+WORD_END = "</w>"
+#: Words given to the library in one text.
+TOGETHER = 2000
+
+
+def is_plain(text: str) -> bool:
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return not ODD.search(text)
 
 
 class ChunkTokenizer:
-    """A tokenizer that drops white space: ids of chunks between white space are kept, as no token crosses it."""
+    """A tokenizer that drops white space and merges within words: ids are kept by word and by chunk between white space,
+    so the library sees each new word once, many in one text, told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,29 +65,51 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.kept: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn_words(self, new: list[str]) -> None:
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) == len(some):
+                self.kept.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+            else:
+                self.kept.update(zip(some, self.whole(some), strict=True))
+
+    def _learn(self, chunks: set[str]) -> None:
+        several = {c: p for c in chunks if not c.isalpha() and len(p := WORD.findall(c)) > 1}
+        words = {w for p in several.values() for w in p if w not in self.kept}
+        self._learn_words(list(words.union(chunks.difference(several))))
+        self.kept.update((c, b"".join([self.kept[w] for w in p])) for c, p in several.items())
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
-            if PLAIN.search(text) or "<|" in text:
-                out += self.whole([text])
-                continue
-            chunks = text.lower().split()
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, chunks)))
-            except KeyError:
-                missing = [c for c in set(chunks) if c not in self.kept]
-                if len(self.kept) + len(missing) > MOST_KEPT:
-                    self.kept.clear()
-                    missing = list(set(chunks))
-                self.kept.update(zip(missing, self.whole(missing), strict=True))
-                out.append(b"".join(map(self.kept.__getitem__, chunks)))
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers. Chunks are told apart outside Python, so it sees each
+        distinct one of a batch once."""
+        plain = [is_plain(text) for text in texts]
+        lower = pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, *TRAILING))
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = set(chunks).difference(self.kept)
+        if len(self.kept) + len(new) > MOST_KEPT:
+            self.kept.clear()
+            new = set(chunks)
+        self._learn(new)
+        own = list(map(self.kept.__getitem__, chunks))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), "<u4")
+        which = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        ids = flat[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        cuts = ends[parts.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() if p else self.whole([text])[0] for text, p, a, b in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
 
 
 _loaded: dict[str, ChunkTokenizer] = {}

@@ -29,7 +29,7 @@ class Config:
     ingestion_directory: str = "."
     vault_type: str = "generic"
     schema_version: int = SCHEMA_VERSION
-    doc_type_path_mappings: Mapping[str, str] = field(default_factory=dict)
+    doc_type_path_mappings: Mapping[str, str | list[str]] = field(default_factory=dict)
     docling_used: bool = False
     page_numbers_present: bool = False
     page_numbers_in_citations: bool = False
@@ -107,7 +107,9 @@ class Config:
         """The type whose path prefix is the longest that holds the file; null if none does. A table of prefixes is part
         of the settings, so it becomes one expression and needs no join."""
         best: Column = F.lit(None).cast("string")
-        cleaned = [(t, p.replace("\\", "/").removeprefix("./").rstrip("/")) for t, p in self.doc_type_path_mappings.items()]
+        given = [(t, p) for t, ps in self.doc_type_path_mappings.items() for p in ([ps] if isinstance(ps, str) else ps)]
+        cleaned = [(t, p.replace("\\", "/").removeprefix("./").rstrip("/")) for t, p in given]
+        # a mapping may name one prefix or several
         for kind, prefix in sorted(cleaned, key=lambda x: len(x[1])):  # the longest is the outermost test
             best = F.when((file == prefix) | file.startswith(f"{prefix}/"), F.lit(kind)).otherwise(best)
         return best

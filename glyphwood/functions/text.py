@@ -6,7 +6,7 @@ Java's has no U+00A0 and no U+FEFF. For the same reason "any character" is a cla
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space, for use within a character class.
@@ -101,3 +101,24 @@ def fingerprint(content: Column) -> Column:
         content.isNotNull(),
         F.struct(F.size(lines(content)).cast("long").alias("line_count"), F.sha2(content, 256).alias("sha256")),
     )
+
+
+# ---- how plans keep costly columns computed once ------------------------------------------------------------------
+
+
+def fenced(c: Column) -> Column:
+    """c, marked so that the optimizer keeps its computation where it is.
+
+    Predicates on a derived column are otherwise pushed below its projection with the whole expression written out again,
+    and once more per reference: for nested array functions that makes one pass over a text into many.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
+def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """The columns `keep` and the fields of an array of structs, a row per element; none for an empty array.
+
+    As an outer explode, since an inner one infers a predicate that computes the array a second time.
+    """
+    out = df.select(*keep, F.explode_outer(array).alias("_x")).filter("_x IS NOT NULL")
+    return out.select(*keep, "_x.*")

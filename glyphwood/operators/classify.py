@@ -37,17 +37,18 @@ def resolve(file: Column, target: Column) -> Column:
     return F.array_join(kept, "/")
 
 
-def classify(source: DataFrame, config: Config) -> DataFrame:
-    """One row per document of a source map: file, classification, indexed, alias_target, counts, doc_type, doc_group."""
+def with_class(source: DataFrame, config: Config) -> DataFrame:
+    """A source map with classification, doc_type and local_targets, in the same row: choosing documents by class then
+    needs no join."""
     local = F.filter("links", lambda x: is_local_markdown(x["target"]))
-    df = source.withColumn("_local", F.transform(local, lambda x: resolve(F.col("file"), x["target"])))
+    df = source.withColumn("local_targets", F.transform(local, lambda x: resolve(F.col("file"), x["target"])))
     no_code = F.col("code_blocks") == 0
     kind = (
         F.when(F.col("substantive_count") == 0, "placeholder")
         .when(
             (F.size("headings") <= 1)
             & no_code
-            & (F.size("_local") >= 1)
+            & (F.size("local_targets") >= 1)
             & (F.col("prose_words") <= config.redirect_max_prose_words)
             & F.col("prose").rlike(REDIRECT),
             "redirect",
@@ -59,25 +60,34 @@ def classify(source: DataFrame, config: Config) -> DataFrame:
         )
         .otherwise("substantive")
     )
-    df = df.select(
+    return df.withColumns({"classification": kind, "doc_type": config.doc_type(F.col("file"))})
+
+
+def substantive(source: DataFrame, config: Config) -> DataFrame:
+    """The part of a source map that is indexed."""
+    return with_class(source, config).filter("classification = 'substantive'").drop("classification", "local_targets")
+
+
+def classify(source: DataFrame, config: Config) -> DataFrame:
+    """One row per document of a source map: file, classification, indexed, alias_target, counts, doc_type, doc_group."""
+    df = with_class(source, config)
+    return df.select(
         "file",
-        kind.alias("classification"),
+        "classification",
         F.size("headings").cast("long").alias("headings"),
         F.col("substantive_count").cast("long").alias("substantive_lines"),
         F.col("prose_words").cast("long"),
         F.col("non_link_words").cast("long"),
         F.col("code_blocks").cast("long"),
         F.size("links").cast("long").alias("links"),
-        F.size("_local").cast("long").alias("local_markdown_links"),
-        F.col("_local").alias("local_targets"),
+        F.size("local_targets").cast("long").alias("local_markdown_links"),
+        "local_targets",
         "fingerprint",
-    )
-    return df.select(
-        "*",
         (F.col("classification") == "substantive").alias("indexed"),
         F.when(F.col("classification") == "redirect", F.get("local_targets", F.lit(0))).alias("alias_target"),
-        config.doc_type(F.col("file")).alias("doc_type"),
-    ).withColumn("doc_group", config.doc_group(F.col("doc_type")))
+        "doc_type",
+        config.doc_group(F.col("doc_type")).alias("doc_group"),
+    )
 
 
 def scan(classified: DataFrame, leaves: DataFrame | None = None, trees: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphwood.functions import text as t
@@ -25,7 +25,10 @@ def detect(source: DataFrame, nodes: DataFrame, indexed: DataFrame, aliases: Dat
         )
     )
     local = F.transform(F.filter("links", lambda x: is_local_markdown(x["target"])), lambda x: F.struct(x["line"].alias("line"), (x["idx"] + 1000).alias("k"), x["target"].alias("raw")))
-    df = source.select("file", F.explode(F.concat(F.transform(quoted, lambda x: F.struct(F.lit("intra").alias("type"), x["line"].alias("line"), x["k"].alias("k"), x["raw"].alias("raw"))), F.transform(local, lambda x: F.struct(F.lit("inter").alias("type"), x["line"].alias("line"), x["k"].alias("k"), x["raw"].alias("raw"))))).alias("x")).select("file", "x.*")
+    def as_type(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), x["line"].alias("line"), x["k"].alias("k"), x["raw"].alias("raw")))
+
+    df = t.exploded(source, F.concat(as_type(quoted, "intra"), as_type(local, "inter")), "file")
     named = F.regexp_extract("raw", PHRASES, 1)
     wanted = F.when(F.col("type") == "inter", resolve(F.col("file"), F.col("raw"))).otherwise(F.when(named != "", named).otherwise(F.regexp_extract("raw", PHRASES, 2)))
     df = df.withColumn("target", wanted).withColumn("_slug", F.when(F.col("type") == "intra", t.slug(F.col("target"))))

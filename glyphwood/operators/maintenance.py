@@ -133,7 +133,7 @@ def doctor(leaves: DataFrame, docs: DataFrame, config: Config, nodes: DataFrame
             rows(checks.filter("code <> 'fingerprint_mismatch'"), "error", None, "file", F.col("detail")),
             rows(docs.join(source.select("file"), "file", "left_anti"), "error", "source_missing", "file", F.lit(None).cast("string")),
             rows(docs.filter("fingerprint IS NULL"), "info", "staleness_unknown", "file", F.lit(None).cast("string")),
-            rows(validate.coverage(nodes, source).join(docs.select("file"), "file", "left_semi").filter("coverage_ratio < 1"), "warn", "incomplete_coverage", "file", F.col("coverage_ratio").cast("string")),
+            rows(validate.coverage(nodes, source.join(docs.select("file"), "file", "left_semi")).filter("coverage_ratio < 1"), "warn", "incomplete_coverage", "file", F.col("coverage_ratio").cast("string")),
         ]
     if nodes is not None and with_quality:
         poor = quality.check_trees(docs, nodes, config).groupBy("file").agg(F.count("*").alias("n"))

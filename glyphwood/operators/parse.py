@@ -189,28 +189,28 @@ def source_map(sources: DataFrame, file: str = "file", content: str = "content")
     pages = F.col("_pages")
     counted = F.col("_prose")
     filled = F.col("_filled")
-    return df.select(
-        "file",
-        "total_lines",
-        "frontmatter_end",
-        "body_start",
-        "lines",
-        F.transform(heads, heading).alias("headings"),
-        "fences",
-        F.transform(
+    derived = {
+        "total_lines": F.col("total_lines"),
+        "frontmatter_end": F.col("frontmatter_end"),
+        "body_start": body,
+        "lines": all_lines,
+        "headings": F.transform(heads, heading),
+        "fences": F.col("fences"),
+        "page_markers": F.transform(
             pages,
             lambda x, i: _struct(line=x["n"], page=F.coalesce(page_number(x["text"]), (i + 1).cast("long")), pattern=page_form(x["text"])),
-        ).alias("page_markers"),
-        page_form(F.get(pages, F.lit(0))["text"]).alias("page_pattern"),
-        F.flatten(F.transform(F.col("_linked"), line_links)).alias("links"),
-        F.size(filled).alias("substantive_count"),
-        F.coalesce(F.get(filled, F.size(filled) - 1)["n"], F.lit(0)).alias("last_substantive_line"),
-        F.aggregate(counted, F.lit(0), lambda acc, x: acc + t.word_count(linked_words(x))).alias("prose_words"),
-        F.aggregate(counted, F.lit(0), lambda acc, x: acc + F.size(non_link_words(x))).alias("non_link_words"),
-        F.size("fences").alias("code_blocks"),
-        F.array_join(counted, "\n").alias("prose"),
-        t.fingerprint(F.col("_c")).alias("fingerprint"),
-    )
+        ),
+        "page_pattern": page_form(F.get(pages, F.lit(0))["text"]),
+        "links": F.flatten(F.transform(F.col("_linked"), line_links)),
+        "substantive_count": F.size(filled),
+        "last_substantive_line": F.coalesce(F.get(filled, F.size(filled) - 1)["n"], F.lit(0)),
+        "prose_words": F.aggregate(counted, F.lit(0), lambda acc, x: acc + t.word_count(linked_words(x))),
+        "non_link_words": F.aggregate(counted, F.lit(0), lambda acc, x: acc + F.size(non_link_words(x))),
+        "code_blocks": F.size("fences"),
+        "prose": F.array_join(counted, "\n"),
+        "fingerprint": t.fingerprint(F.col("_c")),
+    }
+    return df.select("file", *[t.fenced(c).alias(name) for name, c in derived.items()])
 
 
 def is_page_marker(line: Column) -> Column:
@@ -255,23 +255,23 @@ def non_link_words(line: Column) -> Column:
 
 
 def lines(source: DataFrame) -> DataFrame:
-    return source.select("file", F.explode("lines").alias("x")).select("file", "x.*")
+    return t.exploded(source, F.col("lines"), "file")
 
 
 def headings(source: DataFrame) -> DataFrame:
-    return source.select("file", F.explode("headings").alias("x")).select("file", "x.*")
+    return t.exploded(source, F.col("headings"), "file")
 
 
 def fences(source: DataFrame) -> DataFrame:
-    return source.select("file", F.explode("fences").alias("x")).select("file", "x.*")
+    return t.exploded(source, F.col("fences"), "file")
 
 
 def page_markers(source: DataFrame) -> DataFrame:
-    return source.select("file", F.explode("page_markers").alias("x")).select("file", "x.*")
+    return t.exploded(source, F.col("page_markers"), "file")
 
 
 def links(source: DataFrame) -> DataFrame:
-    return source.select("file", F.explode("links").alias("x")).select("file", "x.*")
+    return t.exploded(source, F.col("links"), "file")
 
 
 def page_at(markers: Column, line: Column) -> Column:

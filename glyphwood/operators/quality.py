@@ -66,9 +66,9 @@ def check_siblings(nodes: DataFrame, config: Config) -> DataFrame:
     told = nodes.filter(~t.is_blank(F.col("summary")))
     near = similarity.later_items(told, ["file", "parent_id"], "ordinal", "summary", config.sibling_summary_similarity_max)
     names = told.select("file", "parent_id", "ordinal", "node_id")
-    late = similarity._join(near, names, ["file", "parent_id", "ordinal"])
+    late = similarity.joined(near, names, ["file", "parent_id", "ordinal"])
     first = names.select("file", "parent_id", F.col("ordinal").alias("other"), F.col("node_id").alias("_other_id"))
-    both = similarity._join(late, first, ["file", "parent_id", "other"])
+    both = similarity.joined(late, first, ["file", "parent_id", "other"])
     return both.select("file", "node_id", F.lit("siblings").alias("scope"), F.lit("sibling_summaries_too_similar").alias("code"), F.col("_other_id").alias("other"), "score")
 
 

@@ -70,7 +70,7 @@ def tasks(nodes: DataFrame, docs: DataFrame, sources: DataFrame, config: Config)
         strings.alias("sibling_headings"),
         F.substring(F.array_join("_lines", "\n"), 1, EXCERPT_CHARS).alias("content"),
     )
-    out = df.select("file", "doc_type", F.explode(F.array_append(of_nodes, root)).alias("x")).select("file", "doc_type", "x.*")
+    out = t.exploded(df, F.array_append(of_nodes, root), "file", "doc_type")
     out = out.withColumn("required_metadata", F.when(F.col("kind") == "root", config.schema_fields(F.col("doc_type"))).otherwise(strings))
     task_id = F.concat_ws(":", t.stem(F.col("file")), F.coalesce("node_id", F.lit("__root__")))
     return out.select(task_id.alias("task_id"), "*", utf16_length(F.coalesce("content", F.lit(""))).alias("size"))

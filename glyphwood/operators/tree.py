@@ -102,8 +102,7 @@ def build(source: DataFrame, config: Config) -> DataFrame:
     Columns: file, node_id, parent_id, path, depth, ordinal, level, heading, heading_path, line, line_start, line_end,
     block_end, page_start, page_end, is_leaf, generated, summary. A document without a substantive line has no nodes.
     """
-    lean = source.select("file", "last_substantive_line", F.explode(_outline(config)).alias("x"))
-    df = lean.select("file", "last_substantive_line", "x.*")
+    df = t.exploded(source, _outline(config), "file", "last_substantive_line")
     ordered = Window.partitionBy("file").orderBy("line", "rank", "part")
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
     holds = F.col("rank") == 0

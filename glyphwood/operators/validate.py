@@ -93,7 +93,7 @@ def owned_lines(nodes: DataFrame, source: DataFrame) -> DataFrame:
     claims = nodes.filter("is_leaf AND line_start <= line_end").select("file", F.explode(F.sequence("line_start", "line_end")).alias("n"))
     owners = claims.groupBy("file", "n").agg(F.count("*").alias("owners"))
     lean = F.transform("lines", lambda x: F.struct(x["n"].alias("n"), x["substantive"].alias("substantive"), (x["level"] > 0).alias("is_heading")))
-    body = source.select("file", F.explode(lean).alias("x")).select("file", "x.*")
+    body = t.exploded(source, lean, "file")
     return body.join(owners, ["file", "n"], "full").withColumns({"owners": F.coalesce("owners", F.lit(0)), "substantive": F.coalesce("substantive", F.lit(False))})
 
 
@@ -145,9 +145,10 @@ def check_cross_refs(refs: DataFrame) -> DataFrame:
 
 
 def check_trees(docs: DataFrame, nodes: DataFrame, source: DataFrame, config: Config) -> DataFrame:
-    """All findings on trees, structure, coverage and staleness."""
+    """All findings on trees, structure, coverage and staleness; coverage of documents that have both source and tree."""
     held = nodes.join(source.select("file"), "file", "left_semi")
-    parts = [check_roots(docs, config), check_shape(nodes, docs, config), check_ids(nodes), check_coverage(held, source), check_sources(docs, source)]
+    known = source.join(docs.select("file"), "file", "left_semi")
+    parts = [check_roots(docs, config), check_shape(nodes, docs, config), check_ids(nodes), check_coverage(held, known), check_sources(docs, source)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -39,50 +40,58 @@ class Merged:
     retries: list[int] = field(default_factory=list)
 
 
-def build(sources: DataFrame, config: Config) -> Built:
+#: Keeps a table of a run: takes its name and the table, returns what is to be read instead.
+Stage = Callable[[str, DataFrame], DataFrame]
+
+
+def lazily(_: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def build(sources: DataFrame, config: Config, stage: Stage = lazily) -> Built:
     """Texts are parsed once; trees are made of substantive documents alone."""
-    whole = parse.source_map(sources)
+    whole = stage("source_map", parse.source_map(sources))
     classified = classes.classify(whole, config)
-    substantive = whole.join(classified.filter("indexed").select("file"), "file", "left_semi")
+    substantive = classes.substantive(whole, config)
     docs = tree.documents(substantive, config)
-    fine = docs.filter("reject IS NULL").drop("reject")
+    fine = stage("docs", docs.filter("reject IS NULL").drop("reject"))
     rejects = docs.filter("reject IS NOT NULL").select("file", "reject")
-    nodes = tree.build(substantive.join(fine.select("file"), "file", "left_semi"), config)
-    return Built(sources, whole, classified, fine, nodes, classes.aliases(classified), rejects)
-
-
-def summarise(built: Built, config: Config, model: semantic.Summariser = semantic.extractive, date_added: str | None = None, checkpoint: bool = True) -> Merged:
-    """Asks the model for every node and document, judges the outcome, and asks again for what failed, up to the limit."""
-    queue = semantic.tasks(built.nodes, built.docs, built.sources, config)
-    results = model(queue)
-    if checkpoint and queue.sparkSession.sparkContext.getCheckpointDir():
-        results = results.checkpoint()  # a model isn't asked twice
-    docs, nodes = semantic.fold(built.docs, built.nodes, results)
-    rounds = []
-    for _ in range(config.semantic_retry_limit):
-        lost = semantic.missing(queue, results)
-        found = semantic.judge(docs, nodes, built.source_map, lost, config)
-        again = queue.join(semantic.retry_tasks(found).select("task_id"), "task_id", "left_semi")
+    wanted = substantive.filter("doc_type IS NOT NULL")
+    nodes = tree.build(wanted.filter(F.size("page_markers") > 0) if config.page_numbers_in_citations else wanted, config)
+    return Built(sources, whole, classified, fine, stage("nodes", nodes), classes.aliases(classified), rejects)
+
+
+def summarise(built: Built, config: Config, model: semantic.Summariser = semantic.extractive, date_added: str | None = None, stage: Stage = lazily) -> Merged:
+    """Asks the model for every node and document, judges the outcome, and asks again for what failed, up to the limit.
+
+    The model's answers are staged, so it isn't asked twice for the same.
+    """
+    queue = stage("tasks", semantic.tasks(built.nodes, built.docs, built.sources, config))
+    results = stage("results", model(queue))
+    rounds: list[int] = []
+    while True:
+        docs, nodes = semantic.fold(built.docs, built.nodes, results)
+        docs, nodes = stage("merged_docs", docs), stage("merged_nodes", nodes)
+        findings = stage("findings", semantic.judge(docs, nodes, built.source_map, semantic.missing(queue, results), config))
+        # the default would give the same for the same text
+        if len(rounds) == config.semantic_retry_limit or model is semantic.extractive:
+            break
+        again = queue.join(semantic.retry_tasks(findings).select("task_id"), "task_id", "left_semi")
         n = again.count()
-        rounds.append(n)
-        if not n or model is semantic.extractive:  # the same text would give the same summary
+        if not n:
             break
-        renewed = model(again)
-        if checkpoint and queue.sparkSession.sparkContext.getCheckpointDir():
-            renewed = renewed.checkpoint()
-        results = results.join(renewed.select("task_id"), "task_id", "left_anti").unionByName(renewed)
-        docs, nodes = semantic.fold(built.docs, built.nodes, results)
-    lost = semantic.missing(queue, results)
-    findings = semantic.judge(docs, nodes, built.source_map, lost, config)
+        rounds.append(n)
+        renewed = stage("renewed", model(again))
+        results = stage("results", results.join(renewed.select("task_id"), "task_id", "left_anti").unionByName(renewed))
     made = semantic.make_leaves(docs, config, date_added or f"{datetime.date.today():%Y-%m-%d}")
     leaves, excluded = semantic.passing(made, findings)
     return Merged(docs, nodes, leaves, findings, excluded, rounds)
 
 
-def publish(store: Store, built: Built, merged: Merged, config: Config, mode: str = "ingest", dry_run: bool = False) -> dict[str, Any]:
+def publish(store: Store, built: Built, merged: Merged, config: Config, mode: str = "ingest", dry_run: bool = False, stage: Stage = lazily) -> dict[str, Any]:
     indexed = store.table("leaves") if store.current() else None
-    none = merged.findings.filter("scope = 'structure'")
-    decided = publication.decide(merged.leaves, merged.docs, none, built.sources, indexed, mode)
+    broken = merged.findings.filter("scope = 'structure'")
+    decided = stage("decided", publication.decide(merged.leaves, merged.docs, broken, built.sources, indexed, mode))
     return publication.publish(store, {"docs": merged.docs, "nodes": merged.nodes, "aliases": built.aliases}, decided, config, mode, dry_run)
 
 
@@ -90,9 +99,10 @@ def ingest(store: Store, sources: DataFrame, config: Config, model: semantic.Sum
     """All steps. mode `modify` replaces documents that are indexed already."""
     if mode not in ("ingest", "modify"):
         raise EngineError("bad_mode", mode)
-    built = build(sources, config)
-    merged = summarise(built, config, model, date_added)
-    return publish(store, built, merged, config, mode, dry_run)
+    with store.stager() as stage:
+        built = build(sources, config, stage)
+        merged = summarise(built, config, model, date_added, stage)
+        return publish(store, built, merged, config, mode, dry_run, stage)
 
 
 def references(built: Built) -> DataFrame:

@@ -105,6 +105,11 @@ class Store:
         self._record(record, name, before, rolled_back=False)
         return name
 
+    # ---- staging ----------------------------------------------------------------------------------------------------
+
+    def stager(self) -> Stager:
+        return Stager(self)
+
     def rollback(self, snapshot: str) -> None:
         """Points at an older snapshot."""
         if not self._fs.exists(self._path(f"{self.root}/snapshots/{snapshot}")):
@@ -114,3 +119,21 @@ class Store:
     def _record(self, record: Mapping[str, Any], name: str, before: str | None, rolled_back: bool) -> None:
         now = datetime.datetime.now(datetime.UTC).isoformat()
         self._write(f"run-{name}.json", json.dumps({"timestamp": now, "snapshot": name, "backup": before, "rolled_back": rolled_back, **record}))
+
+
+class Stager:
+    """Intermediate tables of one run, written once and read again by all that builds on them; gone when the run ends."""
+
+    def __init__(self, store: Store) -> None:
+        self.store, self.folder = store, f"{store.root}/staging/{run_id()}"
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        at = f"{self.folder}/{name}-{secrets.token_hex(4)}"
+        df.write.option("compression", "zstd").parquet(at)
+        return df.sparkSession.read.schema(df.schema).parquet(at)
+
+    def __enter__(self) -> Stager:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.store._fs.delete(self.store._path(self.folder), True)

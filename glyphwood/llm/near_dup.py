@@ -323,18 +323,29 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, c: the least vertex reachable from v, for every vertex with a link. Labels flow along links and are shortcut."""
-    links = checkpointed(links)
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "v"))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"v": "b", "c": "nc"}), "b").groupBy("a").agg(F.min("nc").alias("nc"))
-        flowed = labels.join(near.withColumnRenamed("a", "v"), "v", "left").select("v", F.col("c").alias("old"), F.least("c", "nc").alias("c"))
-        flowed = checkpointed(flowed)
-        after = checkpointed(flowed.join(flowed.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", "old", F.least("c", "cc").alias("c")))
-        if not after.filter("c <> old").limit(1).count():
-            return after.select("v", "c")
-        labels = after.select("v", "c")
+    """v, c: the least vertex reachable from v, for every vertex with a link.
+
+    Each round every vertex joins the neighbour (or stays with itself) that comes first in an order drawn anew, and the
+    graph is contracted to those chosen, so a group of copies is one vertex after a round or two, whatever its size.
+    """
+    edges = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while edges.limit(1).count():
+        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = edges.select("a", "b").union(edges.select("b", "a")).toDF("v", "w")
+        chosen = both.groupBy("v").agg(F.min(place("w")).alias("m")).select("v", F.least("m", place("v"))["id"].alias("c"))
+        rounds.append(checkpointed(chosen))
+        left, right = rounds[-1].toDF("a", "ca"), rounds[-1].toDF("b", "cb")
+        moved = edges.join(left, "a").join(right, "b").filter("ca <> cb")
+        edges = checkpointed(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    if not rounds:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    root = rounds[-1]
+    for chosen in reversed(rounds[:-1]):
+        root = chosen.join(root.toDF("c", "r"), "c", "left").select("v", F.coalesce("r", "c").alias("c"))
+    root = checkpointed(root)
+    least = root.groupBy("c").agg(F.min("v").alias("least"))
+    return root.join(least, "c").select("v", F.col("least").alias("c"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -8,8 +8,8 @@ documents (there are few such nodes: the share bounds their number) is never gat
 with the node's pivots, the members that agree most with large nodes in all trees, and then branches on.
 
 Candidates are confirmed on the full sets, and the confirmed links' components give the result. Documents with equal sets
-are one vertex from the start, so copies never multiply. In an exhaustive comparison, candidates whose sketches nearly
-agree are kept as a spanning forest only: links are wanted for what they connect.
+are one vertex from the start, so copies never multiply. Of an exhaustive comparison a few edge-disjoint forests of
+candidates are kept instead of all pairs: links are wanted for what they connect.
 
 Defined results: a document without words (or with a null text) has an empty set, is linked with nothing and is its own
 component; one with fewer words than a shingle has its whole word sequence as its only shingle; the smallest doc_id of a
@@ -37,6 +37,8 @@ TREES, LEVELS, TOKENS = 8, 4, 128
 HOT, LEAST_HOT, PIVOTS = 2000, 64, 4
 #: Sketch agreement that makes a candidate (0.8 less four deviations), and that counts as near certain.
 MAYBE, SURELY = 0.66, 0.95
+#: Edge-disjoint forests of likely candidates that are kept of a node.
+FORESTS = 4
 #: Documents of a node that are compared exhaustively in one go.
 SMALL = 256
 MOST_KEPT = 300_000
@@ -136,7 +138,9 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Candidates among a few documents: pairs that nearly agree as a forest, and all likely pairs across its trees."""
+    """Candidates among a few documents: pairs that nearly agree as a forest; of the likely pairs across its trees as many
+    edge-disjoint forests as FORESTS, those that agree most first. A pair that is left out has that many ways around it,
+    all of them at least as likely, so what is connected stays so though some candidates fail."""
     n = len(ids)
     a, b = np.triu_indices(n, 1)
     fit = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
@@ -148,8 +152,15 @@ def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int
     sure = agree >= SURELY
     forest, roots = spanning(pairs[sure], n)
     rest = pairs[~sure]
-    chosen = np.concatenate([pairs[sure][forest], rest[roots[rest[:, 0]] != roots[rest[:, 1]]]])
-    return ids[chosen]
+    rest = rest[roots[rest[:, 0]] != roots[rest[:, 1]]]
+    chosen = [pairs[sure][forest]]
+    for _ in range(FORESTS):
+        if not len(rest):
+            break
+        forest = spanning(rest, n)[0]
+        chosen.append(rest[forest])
+        rest = np.delete(rest, forest, axis=0)
+    return ids[np.concatenate(chosen)]
 
 
 def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, level: int) -> Iterator[np.ndarray]:

@@ -20,9 +20,9 @@ def test_headings_fences_and_setext(sources):
     heads = rows(parse.headings(m).orderBy("line"), "line", "level", "text", "kind")
     assert heads == [
         (1, 1, "The title of it", "setext"), (6, 2, "Second part", "setext"), (17, 2, "Same", "atx"), (19, 2, "Same", "atx"),
-        (21, 2, "Closed", "atx"), (27, 2, "Last", "atx"),
+        (21, 2, "Closed", "atx"), (28, 2, "Last", "atx"),
     ]
-    assert rows(parse.fences(m), "start", "end", "unterminated") == [(22, 25, False)]
+    assert rows(parse.fences(m), "start", "end", "unterminated") == [(22, 26, False)]
 
 
 def test_fence_states(sources):

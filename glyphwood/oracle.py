@@ -380,7 +380,7 @@ ORACLE: dict[str, str] = {
     "index_findings": sql("SELECT file, 'leaf_summary_missing' AS code FROM leaves WHERE summary IS NULL UNION ALL SELECT file, 'leaf_tree_index_dangling' FROM leaves WHERE last_line % 7 = 1"),
     "doctor": sql("SELECT severity, code, count(*)::BIGINT AS findings FROM (SELECT 'warn' AS severity, 'null_metadata' AS code FROM leaves WHERE doc_group IS NULL OR (doc_type = 'article' AND (edition IS NULL OR lang IS NULL)) OR doc_type = 'report' UNION ALL SELECT 'error', 'dangling_leaf' FROM leaves WHERE last_line % 7 = 1 UNION ALL SELECT 'warn', 'orphaned_tree' FROM leaves WHERE last_line % 7 = 0 UNION ALL (SELECT DISTINCT 'warn', 'unknown_grouping' FROM leaves WHERE doc_group IS NULL)) GROUP BY ALL"),
     "cross_type_join": sql("SELECT 'language' AS label, lang AS value, count(DISTINCT doc_type)::BIGINT AS types, count(*)::BIGINT AS documents FROM leaves WHERE doc_type IN ('article', 'report', 'brief') AND lang IS NOT NULL GROUP BY lang HAVING count(DISTINCT doc_type) > 1"),
-    "cross_refs": sql("SELECT r.file, t.node_id, r.line::BIGINT AS line_key, r.target AS raw, r.resolved AS target, CASE WHEN d.file IS NOT NULL THEN r.resolved ELSE a.to_file END AS resolved_file FROM resolved r JOIN leaf_nodes t ON t.file = r.file AND r.line BETWEEN t.line_start AND t.line_end LEFT JOIN (SELECT file FROM typed WHERE classification = 'substantive' AND doc_type IS NOT NULL) d ON d.file = r.resolved LEFT JOIN known_aliases a ON a.from_file = r.resolved"),
+    "cross_refs": sql("SELECT r.file, t.node_id, r.target AS raw, r.resolved AS target, CASE WHEN d.file IS NOT NULL THEN r.resolved ELSE a.to_file END AS resolved_file FROM resolved r JOIN leaf_nodes t ON t.file = r.file AND r.line BETWEEN t.line_start AND t.line_end LEFT JOIN (SELECT file FROM typed WHERE classification = 'substantive' AND doc_type IS NOT NULL) d ON d.file = r.resolved LEFT JOIN known_aliases a ON a.from_file = r.resolved"),
     "routing_candidates": f"""
         WITH l AS (SELECT doc_id, lang || '/doc_' || doc_id || '.md' AS file, list_distinct({tokens("coalesce(text, '') || ' ' || lang || ' doc ' || doc_id || ' md'")}) AS s FROM documents WHERE text IS NOT NULL),
         ql AS (SELECT item_id, list_distinct({tokens("text")}) AS s FROM benchmark), w AS (SELECT file, unnest(s) AS w FROM l), qw AS (SELECT item_id, unnest(s) AS w, len(s) AS n FROM ql),

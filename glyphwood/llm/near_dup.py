@@ -8,8 +8,9 @@ documents (there are few such nodes: the share bounds their number) is never gat
 with the node's pivots, the members that agree most with large nodes in all trees, and then branches on.
 
 Candidates are confirmed on the full sets, and the confirmed links' components give the result. Documents with equal sets
-are one vertex from the start, so copies never multiply. Of an exhaustive comparison a few edge-disjoint forests of
-candidates are kept instead of all pairs: links are wanted for what they connect.
+are one vertex from the start, so copies never multiply. Links are wanted for what they connect: candidates whose sketches
+nearly agree are kept as a spanning forest only, and a forest of the other candidates is confirmed first; of the rest
+only those that would still join two components are confirmed, which gives the same components as confirming all.
 
 Defined results: a document without words (or with a null text) has an empty set, is linked with nothing and is its own
 component; one with fewer words than a shingle has its whole word sequence as its only shingle; the smallest doc_id of a
@@ -37,8 +38,8 @@ TREES, LEVELS, TOKENS = 8, 4, 128
 HOT, LEAST_HOT, PIVOTS = 2000, 64, 4
 #: Sketch agreement that makes a candidate (0.8 less four deviations), and that counts as near certain.
 MAYBE, SURELY = 0.66, 0.95
-#: Edge-disjoint forests of likely candidates that are kept of a node.
-FORESTS = 4
+#: Edges of a contracted graph that one task may join.
+MOST_AT_ONCE = 10_000
 #: Documents of a node that are compared exhaustively in one go.
 SMALL = 256
 MOST_KEPT = 300_000
@@ -138,9 +139,8 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Candidates among a few documents: pairs that nearly agree as a forest; of the likely pairs across its trees as many
-    edge-disjoint forests as FORESTS, those that agree most first. A pair that is left out has that many ways around it,
-    all of them at least as likely, so what is connected stays so though some candidates fail."""
+    """Candidates among a few documents, as rows (a, b, first): pairs that nearly agree as a forest, and all likely pairs
+    across its trees. A forest of the latter, those that agree most, comes first; the rest is looked at only if needed."""
     n = len(ids)
     a, b = np.triu_indices(n, 1)
     fit = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
@@ -153,14 +153,10 @@ def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int
     forest, roots = spanning(pairs[sure], n)
     rest = pairs[~sure]
     rest = rest[roots[rest[:, 0]] != roots[rest[:, 1]]]
-    chosen = [pairs[sure][forest]]
-    for _ in range(FORESTS):
-        if not len(rest):
-            break
-        forest = spanning(rest, n)[0]
-        chosen.append(rest[forest])
-        rest = np.delete(rest, forest, axis=0)
-    return ids[np.concatenate(chosen)]
+    ahead = np.zeros(len(rest), bool)
+    ahead[spanning(rest, n)[0]] = True
+    chosen = np.concatenate([pairs[sure][forest], rest])
+    return np.column_stack([ids[chosen], np.concatenate([np.ones(len(forest), bool), ahead])])
 
 
 def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, level: int) -> Iterator[np.ndarray]:
@@ -175,17 +171,27 @@ def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: i
     values, counts = np.unique(tokens, return_counts=True)
     if counts.max() > 0.7 * len(ids):  # mostly alike: each is compared with the member that agrees most with all
         common = (sketch == np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T])).sum(axis=1)
-        for p in np.argsort(-common, kind="stable")[:PIVOTS]:
+        for k, p in enumerate(np.argsort(-common, kind="stable")[:PIVOTS]):
             near = np.flatnonzero((sketch == sketch[p]).mean(axis=1) >= MAYBE)
             near = near[near != p]
-            yield np.stack([ids[near], np.full(len(near), ids[p])], axis=1)
+            yield np.stack([ids[near], np.full(len(near), ids[p]), np.full(len(near), k == 0)], axis=1)
     for v in values[counts > 1]:
         on = tokens == v
         yield from join_node(ids[on], sizes[on], sketch[on], percent, level + 1)
 
 
+def framed(parts: list[np.ndarray]) -> pd.DataFrame:
+    """Rows (a, b, first) as a frame of distinct pairs, the lesser id first."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+    low, high = rows[:, :2].min(axis=1), rows[:, :2].max(axis=1)
+    order = np.lexsort([-rows[:, 2], high, low])
+    low, high, first = low[order], high[order], rows[order, 2] > 0
+    new = np.concatenate([np.ones(min(len(low), 1), bool), (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    return pd.DataFrame({"a": low[new], "b": high[new], "first": first[new]})
+
+
 def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of vertices that may be similar."""
+    """Pairs (a, b), a < b, of vertices that may be similar, and whether they are to be confirmed first."""
     spark = reps.sparkSession
     least = max(total // HOT, LEAST_HOT)
     hot: list[np.ndarray] = []
@@ -257,12 +263,14 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
                 on = (at == k) & np.isin(node, hot[k])
                 for x in np.unique(signed(node[on])).tolist():
                     members = np.flatnonzero((on & (signed(node) == x)).any(axis=1))
-                    for p, own in zip(*pivots[x], strict=True):
-                        near = members[((sketch[members] == own).mean(axis=1) >= MAYBE) & (ids[members] != p)]
-                        out.append(np.stack([ids[near], np.full(len(near), p)], axis=1))
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    agree = np.stack([(sketch[members] == own).mean(axis=1) for own in pivots[x][1]])
+                    agree[pivots[x][0][:, None] == ids[members]] = 0
+                    best = agree.argmax(axis=0)
+                    for q, p in enumerate(pivots[x][0].tolist()):
+                        on_q = agree[q] >= MAYBE
+                        near = members[on_q]
+                        out.append(np.stack([ids[near], np.full(len(near), p), best[on_q] == q], axis=1))
+            yield framed(out)
 
     def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Nodes, whose rows follow each other."""
@@ -293,70 +301,101 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
         for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             if e - s == 2:
                 if 100 * min(sizes[s], sizes[s + 1]) >= percent * max(sizes[s], sizes[s + 1]) and (sketch[s] == sketch[s + 1]).mean() >= MAYBE:
-                    out.append(ids[s : s + 2][None, :])
+                    out.append(np.array([[*ids[s : s + 2], 1]]))
             else:
                 out += join_node(ids[s:e], sizes[s:e], sketch[s:e], percent, int(level[s]) + 1)
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return framed(out)
 
     small_batches(spark, 4000)
     cold = reps.select("a", "n", "heads", "sketch").mapInPandas(rows, "node long, level int, a long, n long, sketch binary")
     shuffled = cold.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
-    out = shuffled.mapInPandas(inside, "a long, b long")
+    out = shuffled.mapInPandas(inside, "a long, b long, first boolean")
     if pivots:
-        out = out.unionByName(reps.select("a", "heads", "sketch").mapInPandas(stars, "a long, b long"))
-    return out.filter("a <> b").distinct()
+        out = out.unionByName(reps.select("a", "heads", "sketch").mapInPandas(stars, "a long, b long, first boolean"))
+    return out.filter("a <> b").groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar. Only texts of documents in a pair become sets again."""
+def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """id, own: the full set of each document in a pair; no other text becomes a set again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
 
     def sets(cols: dict[str, list]) -> dict[str, list]:
         return {"id": cols["doc_id"], "own": [np.ascontiguousarray(shingles(t, size)).tobytes() for t in cols["text"]]}
 
-    own = written(map_arrow(texts, sets, "id long, own binary"), "near-sets")
+    return written(map_arrow(texts, sets, "id long, own binary"), "near-sets")
+
+
+def confirmed(own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, x, y): (x, y), as a and b, of those whose full sets are similar."""
 
     def check(cols: dict[str, list]) -> dict[str, list]:
         keep = []
-        for x, y in zip(cols["own_a"], cols["own_b"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        for p, q in zip(cols["own_a"], cols["own_b"], strict=True):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+            keep.append(100 * both >= percent * (len(p) + len(q) - both))
         pick = lambda c: [v for v, k in zip(c, keep, strict=True) if k]
-        return {"a": pick(cols["a"]), "b": pick(cols["b"])}
+        return {"a": pick(cols["x"]), "b": pick(cols["y"])}
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(own.sparkSession, 500)
     half = pairs.join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     return map_arrow(half.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a"), check, "a long, b long")
 
 
+def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """v, c: the components of all candidates that are similar. Of those that come later, what the first have connected
+    already needs no look; the others' links are links between components."""
+    own = sets_of(docs, pairs, size)
+    links = checkpointed(confirmed(own, pairs.filter("first").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), percent))
+    found = components(links)
+    left, right = found.toDF("a", "ca"), found.toDF("b", "cb")
+    later = pairs.filter("NOT first").join(left, "a", "left").join(right, "b", "left")
+    later = later.select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).filter("x <> y")
+    more = components(checkpointed(confirmed(own, checkpointed(later), percent)))
+    merged = found.join(more.toDF("c", "m"), "c", "left").select("v", F.coalesce("m", "c").alias("c"))
+    return checkpointed(merged.unionByName(more.join(found.select("v"), "v", "left_anti")))
+
+
+def joined_at_once(edges: DataFrame) -> DataFrame:
+    """v, c of a graph of MOST_AT_ONCE edges at most, in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *[f[["a", "b"]].to_numpy(np.int64) for f in frames]])
+        names, back = np.unique(pairs, return_inverse=True)
+        roots = spanning(back.reshape(-1, 2), len(names))[1]
+        yield pd.DataFrame({"v": names, "c": names[roots]})
+
+    return edges.coalesce(1).mapInPandas(run, "v long, c long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, c: the least vertex reachable from v, for every vertex with a link.
 
     Each round every vertex joins the neighbour (or stays with itself) that comes first in an order drawn anew, and the
-    graph is contracted to those chosen, so a group of copies is one vertex after a round or two, whatever its size.
+    graph is contracted to those chosen, so a group of copies is one vertex after a round or two, whatever its size. What
+    is left in the end, a bounded number of edges, is joined in one task.
     """
     edges = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     rounds: list[DataFrame] = []
-    while edges.limit(1).count():
+    while left := edges.limit(MOST_AT_ONCE + 1).count():
+        if left <= MOST_AT_ONCE:
+            rounds.append(checkpointed(joined_at_once(edges)))
+            break
         place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = edges.select("a", "b").union(edges.select("b", "a")).toDF("v", "w")
         chosen = both.groupBy("v").agg(F.min(place("w")).alias("m")).select("v", F.least("m", place("v"))["id"].alias("c"))
         rounds.append(checkpointed(chosen))
-        left, right = rounds[-1].toDF("a", "ca"), rounds[-1].toDF("b", "cb")
-        moved = edges.join(left, "a").join(right, "b").filter("ca <> cb")
+        ends = rounds[-1].toDF("a", "ca"), rounds[-1].toDF("b", "cb")
+        moved = edges.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb")
         edges = checkpointed(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
     root = rounds[-1]
     for chosen in reversed(rounds[:-1]):
         root = chosen.join(root.toDF("c", "r"), "c", "left").select("v", F.coalesce("r", "c").alias("c"))
-    root = checkpointed(root)
     least = root.groupBy("c").agg(F.min("v").alias("least"))
-    return root.join(least, "c").select("v", F.col("least").alias("c"))
+    return checkpointed(root.join(least, "c").select("v", F.col("least").alias("c")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -370,7 +409,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     total = reps.count()
     plain = sketched.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     pairs = checkpointed(candidates(reps.filter("a IS NOT NULL"), total, percent))
-    of = checkpointed(components(confirmed(docs, pairs, size, percent)))
+    of = linked(docs, pairs, size, percent)
     named = reps.select("name", "a").join(of, F.col("a") == F.col("v"), "left").select("name", F.coalesce("c", "a").alias("component_id"))
     named = written(named, "near-names")
     found = filled.select("doc_id", F.col("n").alias("n_shingles"), "name").join(named, "name").select("doc_id", "n_shingles", "component_id")

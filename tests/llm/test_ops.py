@@ -108,9 +108,12 @@ def test_near_dup_large_groups(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, size).collect()} == due
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 20, 10_000])
+def test_components(spark, monkeypatch, at_once):
     import random
 
+    monkeypatch.setattr(near_dup, "MOST_AT_ONCE", at_once)
+
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 300)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(120)]
     up = {v: v for link in links for v in link}

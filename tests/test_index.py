@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,12 +43,20 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "index"))
 
 
-@pytest.fixture
-def published(store, sources):
-    src = sources(samples.ALL)
-    report = plans.ingest(store, src, CONFIG, model, date_added="2026-01-01")
+@pytest.fixture(scope="module")
+def base(spark, tmp_path_factory):
+    """An index of all samples, made once; tests work on copies."""
+    root = str(tmp_path_factory.mktemp("base") / "index")
+    src = spark.createDataFrame(list(samples.ALL.items()), "file string, content string")
+    report = plans.ingest(Store(spark, root), src, CONFIG, model, date_added="2026-01-01")
     assert report["published"] == 6 and report["rejected"] == 0
-    return store, src
+    return root, src
+
+
+@pytest.fixture
+def published(spark, base, tmp_path):
+    shutil.copytree(base[0], tmp_path / "index")
+    return Store(spark, str(tmp_path / "index")), base[1]
 
 
 def test_publish_and_health(published):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -21,6 +23,43 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
+#: Arrays from this size on get pages of their own, which go back to the system when the array goes; smaller ones are
+#: reused, as fresh pages for every temporary array cost more than the work on it. What is free beyond KEPT goes back too.
+OWN_PAGES, KEPT = 16 << 20, 64 << 20
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
+
+_libc = None
+with contextlib.suppress(OSError, AttributeError):  # another C library: memory is then given back less eagerly
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(M_MMAP_THRESHOLD, OWN_PAGES)
+    _libc.mallopt(M_TRIM_THRESHOLD, KEPT)
+
+_clearers: dict[str, Callable[[], None]] = {}
+_user: list[str] = [""]
+
+
+def keeps(user: str, clear: Callable[[], None]) -> None:
+    """Says how the tables that an operator keeps in a Python worker are emptied."""
+    _clearers[user] = clear
+
+
+def working(user: str) -> None:
+    """Called when a task of an operator starts: workers outlive stages, so what other operators keep in this one goes."""
+    if _user[0] != user:
+        for other, clear in _clearers.items():
+            if other != user:
+                clear()
+        _user[0] = user
+        give_back()
+
+
+def give_back() -> None:
+    """Hands unused memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,16 +100,18 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def map_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """df.mapInArrow with columns as Python lists in and out."""
+def map_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str, user: str = "") -> DataFrame:
+    """df.mapInArrow with columns as Python lists in and out. user: the operator that `make` keeps tables for."""
     small_batches(df.sparkSession)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working(user)
         for b in batches:
             if b.num_rows:
                 out = make({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

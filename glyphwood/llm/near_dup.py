@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, small_batches, table, written
+from .common import checkpointed, keeps, map_arrow, small_batches, table, written
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
@@ -49,6 +49,7 @@ _FACTORS = _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint
 #: The order that each tree branches by at each level; the first TREES orders are the trees' first.
 _CHOSEN = np.array([[t, *(_rng.permutation(np.arange(TREES, TOKENS))[: 63])] for t in range(TREES)])
 _words: dict[bytes, int] = {}
+keeps("near", _words.clear)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -97,7 +98,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 column.append(value)
         return out
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n long, name binary, heads binary, sketch binary")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n long, name binary, heads binary, sketch binary", "near")
 
 
 def matrix(column: pd.Series, kind: str) -> np.ndarray:
@@ -323,7 +324,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     def sets(cols: dict[str, list]) -> dict[str, list]:
         return {"id": cols["doc_id"], "own": [np.ascontiguousarray(shingles(t, size)).tobytes() for t in cols["text"]]}
 
-    return written(map_arrow(texts, sets, "id long, own binary"), "near-sets")
+    return written(map_arrow(texts, sets, "id long, own binary", "near"), "near-sets")
 
 
 def confirmed(own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +341,7 @@ def confirmed(own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     small_batches(own.sparkSession, 500)
     half = pairs.join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-    return map_arrow(half.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a"), check, "a long, b long")
+    return map_arrow(half.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a"), check, "a long, b long", "near")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:

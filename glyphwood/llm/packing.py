@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc, map_arrow, table
+from .common import checkpointed, crc, keeps, map_arrow, table
 
 CAPACITY = 2048
 #: Chunks between white space, and words, whose ids a worker keeps.
@@ -113,6 +113,7 @@ class ChunkTokenizer:
 
 
 _loaded: dict[str, ChunkTokenizer] = {}
+keeps("packing", _loaded.clear)
 
 
 def load(name: str) -> ChunkTokenizer:
@@ -140,7 +141,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word
                     column.append(value)
         return out
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long", "packing")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, unpack, unpack_docs, unpack_sorted, written
+from .common import blocks, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, unpack, unpack_docs, unpack_sorted, working, written
 
 LENGTH = 200
 #: Bytes of text of a block, bytes looked at at once, and bytes of text for each range of identifiers.
@@ -168,6 +168,7 @@ def first_round(docs: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        working("suffix")
         part = TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(blocks(batches, BLOCK)):
             block = f"{part}-{k}"

@@ -61,10 +61,10 @@ def build(sources: DataFrame, config: Config, stage: Stage = lazily) -> Built:
     return Built(sources, whole, classified, fine, stage("nodes", nodes), classes.aliases(classified), rejects)
 
 
-def summarise(built: Built, config: Config, model: semantic.Summariser = semantic.extractive, date_added: str | None = None, stage: Stage = lazily) -> Merged:
+def summarise(built: Built, config: Config, stage: Stage, model: semantic.Summariser = semantic.extractive, date_added: str | None = None) -> Merged:
     """Asks the model for every node and document, judges the outcome, and asks again for what failed, up to the limit.
 
-    The model's answers are staged, so it isn't asked twice for the same.
+    The model's answers are staged, so it isn't asked twice for the same, and rounds don't compute earlier rounds again.
     """
     queue = stage("tasks", semantic.tasks(built.nodes, built.docs, built.sources, config))
     results = stage("results", model(queue))
@@ -101,7 +101,7 @@ def ingest(store: Store, sources: DataFrame, config: Config, model: semantic.Sum
         raise EngineError("bad_mode", mode)
     with store.stager() as stage:
         built = build(sources, config, stage)
-        merged = summarise(built, config, model, date_added, stage)
+        merged = summarise(built, config, stage, model, date_added)
         return publish(store, built, merged, config, mode, dry_run, stage)
 
 

@@ -173,7 +173,7 @@ def test_remove_rebuild_rollback(published):
 
 def test_search(published, spark):
     store, src = published
-    asked = spark.createDataFrame([(1, "how is the type washed with lye"), (2, "the of and"), (3, "zebra")], "query_id long, text string")
+    asked = spark.createDataFrame([(1, "how is the press type washed with lye"), (2, "the of and"), (3, "zebra")], "query_id long, text string")
     args = (store.table("leaves"), store.table("docs"), store.table("nodes"), src, CONFIG)
     cited = search.search(asked, *args, mode="aggregation").cache()
     best = cited.filter("query_id = 1 AND rank = 1").first()

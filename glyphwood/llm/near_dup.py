@@ -160,15 +160,15 @@ def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int
     return np.column_stack([ids[chosen], np.concatenate([np.ones(len(forest), bool), ahead])])
 
 
-def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, level: int) -> Iterator[np.ndarray]:
-    """Candidates in a node: branches until nodes are small, then compares."""
+def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, tree: int, level: int) -> Iterator[np.ndarray]:
+    """Candidates in a node: branches by its tree's own orders until nodes are small, then compares."""
     if len(ids) <= SMALL or level >= 48:
         for k in range(0, len(ids), SMALL):  # beyond SMALL only after 48 branchings: block against block
             for j in range(0, k + 1, SMALL):
                 both = np.unique(np.concatenate([np.arange(k, min(k + SMALL, len(ids))), np.arange(j, min(j + SMALL, len(ids)))]))
                 yield compare(ids[both], sizes[both], sketch[both], percent)
         return
-    tokens = sketch[:, TREES + (level * 37) % (TOKENS - TREES)]
+    tokens = sketch[:, _CHOSEN[tree, level]]
     values, counts = np.unique(tokens, return_counts=True)
     if counts.max() > 0.7 * len(ids):  # mostly alike: each is compared with the member that agrees most with all
         common = (sketch == np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T])).sum(axis=1)
@@ -178,7 +178,7 @@ def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: i
             yield np.stack([ids[near], np.full(len(near), ids[p]), np.full(len(near), k == 0)], axis=1)
     for v in values[counts > 1]:
         on = tokens == v
-        yield from join_node(ids[on], sizes[on], sketch[on], percent, level + 1)
+        yield from join_node(ids[on], sizes[on], sketch[on], percent, tree, level + 1)
 
 
 def framed(parts: list[np.ndarray]) -> pd.DataFrame:
@@ -250,7 +250,7 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
                 node, at = branch(matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), hot, levels)
                 stays = np.isin(node, hot[levels]) if levels < len(hot) else np.zeros(node.shape, bool)
                 row, tree = np.nonzero(~stays)
-                yield pd.DataFrame({"node": signed(node[row, tree]), "level": at[row, tree], "a": f["a"].to_numpy()[row], "n": f["n"].to_numpy()[row], "sketch": f["sketch"].to_numpy()[row]})
+                yield pd.DataFrame({"node": signed(node[row, tree]), "tree": tree, "level": at[row, tree], "a": f["a"].to_numpy()[row], "n": f["n"].to_numpy()[row], "sketch": f["sketch"].to_numpy()[row]})
 
     def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each document against the pivots of its hot nodes."""
@@ -293,7 +293,7 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
         cuts = np.flatnonzero(np.diff(node)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]])
         several = ends - starts > 1
-        ids, sizes, level = f["a"].to_numpy(), f["n"].to_numpy(), f["level"].to_numpy()
+        ids, sizes, tree, level = (f[c].to_numpy() for c in ("a", "n", "tree", "level"))
         chosen = np.repeat(several, ends - starts)
         sketch = np.zeros((len(f), TOKENS), np.uint8)
         if chosen.any():
@@ -304,11 +304,11 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
                 if 100 * min(sizes[s], sizes[s + 1]) >= percent * max(sizes[s], sizes[s + 1]) and (sketch[s] == sketch[s + 1]).mean() >= MAYBE:
                     out.append(np.array([[*ids[s : s + 2], 1]]))
             else:
-                out += join_node(ids[s:e], sizes[s:e], sketch[s:e], percent, int(level[s]) + 1)
+                out += join_node(ids[s:e], sizes[s:e], sketch[s:e], percent, int(tree[s]), int(level[s]) + 1)
         return framed(out)
 
     small_batches(spark, 4000)
-    cold = reps.select("a", "n", "heads", "sketch").mapInPandas(rows, "node long, level int, a long, n long, sketch binary")
+    cold = reps.select("a", "n", "heads", "sketch").mapInPandas(rows, "node long, tree int, level int, a long, n long, sketch binary")
     shuffled = cold.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
     out = shuffled.mapInPandas(inside, "a long, b long, first boolean")
     if pivots:

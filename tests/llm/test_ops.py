@@ -108,6 +108,22 @@ def test_near_dup_large_groups(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, size).collect()} == due
 
 
+def paired_pages(pairs, common, own, mine):
+    """Pages of one boilerplate that come in pairs; within one they share `own` words more."""
+    base = [f"b{k}" for k in range(common)]
+    return [(2 * p + c, " ".join(base + [f"p{p}x{k}" for k in range(own)] + [f"q{p}c{c}x{k}" for k in range(mine)])) for p in range(pairs) for c in range(2)]
+
+
+def test_near_dup_trees_branch_apart_in_executors(spark, monkeypatch):
+    """Nodes of 1500 that no pivot looks at: every tree must part them by its own tokens."""
+    monkeypatch.setattr(near_dup, "LEAST_HOT", 100_000)
+    rows = paired_pages(750, 160, 36, 12)
+    due = brute.components(rows[:40], 2)
+    assert all(due[2 * p][1] == due[2 * p + 1][1] == 2 * p for p in range(20))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert sum(got[2 * p] == got[2 * p + 1] for p in range(750)) >= 0.99 * 750
+
+
 @pytest.mark.parametrize("at_once", [0, 20, 10_000])
 def test_components(spark, monkeypatch, at_once):
     import random

@@ -20,6 +20,7 @@ component names it; repeated rows are copies of each other, and rows that share
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +33,26 @@ from .common import checkpointed, keeps, map_arrow, small_batches, table, writte
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
-#: Independent trees, levels of branching between executors, minwise tokens.
-TREES, LEVELS, TOKENS = 8, 4, 128
+#: Levels of branching between executors, minwise tokens.
+LEVELS, TOKENS = 4, 128
+
+
+def trees_for(recall: float, similarity: float, depth: int) -> int:
+    """Trees of which one at least keeps a pair together for `depth` tokens with probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+
+
+#: Wanted share of the pairs just at the threshold that meet, if all their nodes are hot at every level; independent trees.
+RECALL = 0.99
+TREES = trees_for(RECALL, PERCENT / 100, 1 + LEVELS)
+#: Documents of a node that are compared exhaustively in one go.
+SMALL = 256
 #: A node with more than one in HOT of all documents, and than LEAST_HOT, is compared with PIVOTS pivots. At most HOT * TREES * LEVELS nodes are.
-HOT, LEAST_HOT, PIVOTS = 2000, 64, 4
+HOT, LEAST_HOT, PIVOTS = 2000, SMALL, 4
 #: Sketch agreement that makes a candidate (0.8 less four deviations), and that counts as near certain.
 MAYBE, SURELY = 0.66, 0.95
 #: Edges of a contracted graph that one task may join.
 MOST_AT_ONCE = 10_000
-#: Documents of a node that are compared exhaustively in one go.
-SMALL = 256
 MOST_KEPT = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -194,7 +205,7 @@ def framed(parts: list[np.ndarray]) -> pd.DataFrame:
 def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of vertices that may be similar, and whether they are to be confirmed first."""
     spark = reps.sparkSession
-    least = max(total // HOT, LEAST_HOT)
+    least = max(total // HOT, LEAST_HOT, SMALL)  # what may be compared exhaustively isn't hot, whatever the table's size
     hot: list[np.ndarray] = []
 
     def keys_at(level: int) -> DataFrame:

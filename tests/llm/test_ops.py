@@ -124,6 +124,29 @@ def test_near_dup_trees_branch_apart_in_executors(spark, monkeypatch):
     assert sum(got[2 * p] == got[2 * p + 1] for p in range(750)) >= 0.99 * 750
 
 
+def test_near_dup_compares_small_nodes_in_full(spark):
+    """250 sets with a common first token under a tree's order are one node of at most SMALL: all its links are candidates."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 250
+    sketch = rng.integers(0, 256, (n, near_dup.TOKENS)).astype(np.uint8)
+    sketch[1::2] = sketch[::2]  # pairs
+    for k in range(1, n, 2):
+        sketch[k, near_dup._CHOSEN[0, 1 : near_dup.LEVELS + 1]] ^= 255  # which the levels of branching would part
+    heads = rng.integers(0, 1 << 32, (n, near_dup.TREES)).astype("<u4")
+    heads[:, 0] = 7
+    rows = [(k, 100, heads[k].tobytes(), sketch[k].tobytes()) for k in range(n)]
+    reps = spark.createDataFrame(rows, "a long, n long, heads binary, sketch binary")
+    got = {(r.a, r.b) for r in near_dup.candidates(reps, n, 80).collect()}
+    assert {(k, k + 1) for k in range(0, n, 2)} <= got
+
+
+def test_near_dup_trees_reach_the_recall():
+    pairs = 1 - (1 - (near_dup.PERCENT / 100) ** (1 + near_dup.LEVELS)) ** near_dup.TREES
+    assert pairs >= near_dup.RECALL >= 0.99 and near_dup.trees_for(0.9, 0.5, 1) == 4
+
+
 @pytest.mark.parametrize("at_once", [0, 20, 10_000])
 def test_components(spark, monkeypatch, at_once):
     import random

@@ -12,7 +12,8 @@ for each distinct key once, gives its own training counts of it along, and gets
     p(w | v) = (count(v w) + MU * p(w)) / (count(v) + MU),   p(w) = (count(w) + 1) / (N + V + 1)
 
 which sums to 1 over the vocabulary and one unseen word. Counts of pairs are quantised downwards (exact to 32, then 12 steps
-to the doubling), those of words are exact. Words are 64-bit hashes; in pairs, CONTEXT and NEXT bits of them.
+to the doubling), those of words are exact, and a pair counts as its words do at most. Words are 64-bit hashes; pairs are
+CONTEXT bits of the context's hash and NEXT bits of a hash of both, so contexts that share their bits share no successors.
 
 Defined results: a null or empty text is the end token alone; a text's first context is the start of a text, counted once
 per training text; without training texts every token has probability 1 under the base, and the model scores alike;
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import blocks, mix, pack, pack_sorted, small_batches, table, text_bytes, unpack, unpack_sorted, written
 
 MU = 100.0
-CONTEXT, NEXT = 30, 26
+CONTEXT, NEXT = 26, 38
 #: Bytes of text of a block, and for each shard.
 BLOCK, PER_SHARD = 12_000_000, 8_000_000
 #: Texts (their first SAMPLE_CHARS characters) that the shards' bounds are drawn from; they decide nothing else.
@@ -62,12 +63,12 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Key of each token with the token before it: context bits, then successor bits."""
+    """Key of each token with the token before it, 64 bits: the context's, then the pair's."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     if len(sizes):
         before[np.cumsum(sizes) - sizes] = START
-    return mix(before) >> np.uint64(64 - CONTEXT) << np.uint64(NEXT) | mix(ids ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - NEXT)
+    return mix(before) >> np.uint64(64 - CONTEXT) << np.uint64(NEXT) | mix(ids ^ mix(before ^ np.uint64(0x5851F42D4C957F2D))) >> np.uint64(64 - NEXT)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -175,7 +176,7 @@ def bounds_of(docs: DataFrame, shards: int) -> np.ndarray:
     texts = [(r[0] or "").encode() for r in sample]
     keys = np.unique(pair_keys(*word_ids(texts)))
     if len(keys) < shards:
-        return (np.arange(1, shards, dtype=np.uint64) << np.uint64(CONTEXT + NEXT)) // np.uint64(shards)
+        return (np.arange(1, shards, dtype=object) * (1 << CONTEXT + NEXT) // shards).astype(np.uint64)
     return keys[np.arange(1, shards) * len(keys) // shards]
 
 
@@ -264,7 +265,7 @@ def scores(docs: DataFrame, mu: float = MU) -> DataFrame:
             context[starts] = count[np.cumsum(sizes) - 1]  # a start for every end
             base = np.log10(count + 1) - base_log
             low = mu * (count + 1) / (total + distinct + 1)
-            model = np.log10((np.minimum(pair, context) + low) / (context + mu))
+            model = np.log10((np.minimum(np.minimum(pair, context), count) + low) / (context + mu))
             add = lambda x: np.add.reduceat(x, starts)
             names = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
             out.append(pd.DataFrame({"doc_id": pd.array(names, "Int64"), "held_out": [held_out(i) for i in names], "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)), "train_tokens": int(total), "base_score": add(base), "score": add(model)}))

@@ -210,6 +210,20 @@ def test_trie_finds_every_pair_and_no_other():
     assert [int(x) for x in lm_score.GRID[lm_score.code(large)]] == [brute.quantised(int(c)) for c in large]
 
 
+def test_pairs_after_a_frequent_word_are_told_apart():
+    """A context with 300,000 successors, asked for 300,000 others: none is found."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 1 << 63, 600_000).astype(np.uint64))
+    ids = np.empty(2 * len(words), np.uint64)
+    ids[::2], ids[1::2] = np.uint64(12345), words
+    keys = lm_score.pair_keys(ids, np.array([len(ids)]))[1::2]
+    seen = np.unique(keys[::2])
+    trie = lm_score.Trie(seen, np.full(len(seen), 3))
+    assert trie.look_up(keys[::2]).all() and np.count_nonzero(trie.look_up(keys[1::2])) <= 5
+
+
 def test_packing(spark, folder):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -2,7 +2,7 @@
 
 The model counts words and word pairs of all training texts. Pairs are kept in tries: a level of contexts, a level of
 monotone pointers into the next, and a level of successors, each made monotone by its context's rank and coded by
-Elias-Fano (low bits packed, high bits in unary), with 8-bit codes of the pairs' counts beside them. The levels lie in one
+Elias-Fano (low bits packed, high bits in unary), with 16-bit codes of the pairs' counts beside them. The levels lie in one
 memory-mapped file. A pair is found by the context's rank, its pointer range, and a successor search within that range.
 
 A corpus has no bound, so neither has the trie: keys are range-sorted into shards of bounded size (a frequent context may
@@ -76,13 +76,13 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def code(counts: np.ndarray) -> np.ndarray:
-    """8 bits for a count: itself to 32, then the step of 2 ** (1 / 12) below it."""
+    """16 bits for a count: itself to 32, then the step of 2 ** (1 / 12) below it."""
     steps = np.floor(12 * np.log2(np.maximum(counts, 1)) + 1e-9) - 60
-    return np.where(counts <= 32, counts, np.minimum(32 + steps, 255)).astype(np.uint8)
+    return np.where(counts <= 32, counts, 32 + steps).astype(np.uint16)
 
 
-#: The counts that codes stand for.
-GRID = np.concatenate([np.arange(33, dtype=np.float64), np.floor(2 ** (5 + np.arange(1, 224) / 12) + 1e-9)])
+#: The counts that codes stand for, to 2 ** 53.
+GRID = np.concatenate([np.arange(33, dtype=np.float64), np.floor(2 ** (5 + np.arange(1, 12 * 48 + 1) / 12) + 1e-9)])
 
 
 class EliasFano:
@@ -148,8 +148,8 @@ class Trie:
         os.unlink(self.path)  # the mapping holds it as long as it is used
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The 8-bit code of each key's count; 0 where there is none."""
-        out = np.zeros(len(keys), np.uint8)
+        """The code of each key's count; 0 where there is none."""
+        out = np.zeros(len(keys), np.uint16)
         if not self.n:
             return out
         context, zero = keys >> np.uint64(NEXT), np.zeros(len(keys), np.int64)

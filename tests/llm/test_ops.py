@@ -224,6 +224,16 @@ def test_pairs_after_a_frequent_word_are_told_apart():
     assert trie.look_up(keys[::2]).all() and np.count_nonzero(trie.look_up(keys[1::2])) <= 5
 
 
+def test_counts_have_no_end():
+    import numpy as np
+
+    large = np.array([12_568_710, 14_000_000, 10**9, 10**12])
+    kept = lm_score.GRID[lm_score.code(large)]
+    assert (kept <= large).all() and (kept * 2 ** (1 / 12) > large - 2).all()
+    keys = np.array([5, 6], np.uint64)
+    assert lm_score.GRID[lm_score.Trie(keys, large[1:3]).look_up(keys)].tolist() == kept[1:3].tolist()
+
+
 def test_packing(spark, folder):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 All stages but the last return the columns of documents. Nulls: documents with a null text go at the first stage (they
-have no perplexity), documents with a null doc_id at the near-duplicate stage (nothing can name them). An empty table
-passes through as one.
+have no perplexity), documents with a null doc_id at the near-duplicate stage (nothing can name them). Different texts under
+one id are documents of their own. An empty table passes through as one.
 """
 
 from __future__ import annotations
@@ -24,11 +24,20 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """docs with _name: the same for copies of a text under one id, and for these only."""
+    return docs.withColumn("_name", F.xxhash64("doc_id", "text"))
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document of the least id."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    """Of each group of near duplicates (five words, 0.8) the document of the least id, once."""
+    rows = named(docs.filter("doc_id IS NOT NULL"))
+    groups = near_dup.near_duplicates(rows.select(F.col("_name").alias("doc_id"), "text")).select(F.col("doc_id").alias("_name"), F.col("component_id").alias("_of")).distinct()
+    ids = rows.select("_name", F.col("doc_id").alias("_id")).distinct()
+    place = F.struct(F.col("_id").alias("id"), F.col("_name").alias("name"))
+    kept = groups.join(ids, "_name").groupBy("_of").agg(F.min(place).alias("_m")).select(F.col("_m.name").alias("_name"))
+    first = F.row_number().over(Window.partitionBy("_name").orderBy("text"))
+    return rows.join(kept, "_name", "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +45,14 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Every document stays, with what is left of its text and that text's n_chars.
     """
-    spans = suffix_dedup.repeated_spans(docs).select("doc_id", "kept")
+    rows = named(docs)
+    spans = suffix_dedup.repeated_spans(rows.select(F.col("_name").alias("doc_id"), "text")).select("doc_id", "kept")
 
     def make(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "text": [k.decode("utf-8", "ignore") for k in cols["kept"]]}
+        return {"_name": cols["doc_id"], "text": [k.decode("utf-8", "ignore") for k in cols["kept"]]}
 
-    texts = map_arrow(spans, make, "doc_id long, text string")
-    rest = docs.drop("text", "n_chars").join(texts, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    texts = map_arrow(spans, make, "_name long, text string")
+    rest = rows.drop("text", "n_chars").join(texts, "_name").withColumn("n_chars", F.length("text").cast("long"))
     return rest.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
 
 

@@ -39,3 +39,14 @@ def test_stages(spark, folder):  # noqa: F811
 def test_run_and_empty(spark, folder, empty):  # noqa: F811
     assert pipeline.run(spark, folder).count() > 0
     assert pipeline.run(spark, empty).count() == 0
+
+
+def test_texts_that_share_an_id(spark, folder):  # noqa: F811
+    """Unrelated texts under one id stay; copies and near copies go."""
+    text = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("d")), (3, text("d") + " more"), (3, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    due = Counter([(1, text("a")), (1, text("b")), (2, text("d")), (3, text("e"))])
+    near = pipeline.near_stage(spark, docs, folder).cache()
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == due
+    assert Counter((r.doc_id, r.text) for r in pipeline.suffix_stage(spark, near, folder).collect()) == due

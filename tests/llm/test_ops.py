@@ -332,6 +332,17 @@ def test_quality_lm(spark, folder):
                 assert r.perplexity is None and r.kept is False
 
 
+def test_quality_filter_of_many_languages(spark, folder, monkeypatch):
+    """Beyond MOST_LANGUAGES the filter joins its limits, and keeps the same rows."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    monkeypatch.setattr(quality_lm, "FEWEST", 2)
+    due = quality_lm.quality_filter(docs, labels)
+    rows = Counter(due.collect())
+    monkeypatch.setattr(quality_lm, "MOST_LANGUAGES", 1)
+    got = quality_lm.quality_filter(docs, labels)
+    assert got.columns == due.columns and rows and Counter(got.collect()) == rows
+
+
 def test_kneser_ney_sums_to_one():
     p = brute.kneser_ney([b"abracadabra", b"banana bandana"], 3)
     for context in (b"", b"a", b"an", b"zz"):

@@ -14,6 +14,7 @@ alike; texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 
@@ -121,23 +122,29 @@ class Bpe:
         return good
 
     def merge(self, piece: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, from the left."""
-        out, rank = [self.byte_ids[c] for c in piece], self.rank
-        while len(out) > 1:
-            best = min(((rank.get(p, (1 << 60, 0))[0], k) for k, p in enumerate(zip(out, out[1:], strict=False))), default=None)
-            if best is None or best[0] == 1 << 60:
-                break
-            pair = (out[best[1]], out[best[1] + 1])
-            joined, done, k = rank[pair][1], [], 0
-            while k < len(out):
-                if k + 1 < len(out) and (out[k], out[k + 1]) == pair:
-                    done.append(joined)
-                    k += 2
-                else:
-                    done.append(out[k])
-                    k += 1
-            out = done
-        return out
+        """Exact merging: the lowest rank first, from the left. Tokens are linked and pairs wait in a heap, so a piece of n
+        bytes takes n log n steps, however long it is."""
+        out, rank, n = [self.byte_ids[c] for c in piece], self.rank, len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p][0], k) for k, p in enumerate(zip(out, out[1:], strict=False)) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            gone = after[k]
+            if out[k] < 0 or gone >= n:
+                continue
+            found = rank.get((out[k], out[gone]))
+            if found is None or found[0] != r:  # the pair that waited isn't there any more
+                continue
+            out[k], out[gone] = found[1], -1
+            follow = after[k] = after[gone]
+            if follow < n:
+                before[follow] = k
+                if (fresh := rank.get((out[k], out[follow]))) is not None:
+                    heapq.heappush(heap, (fresh[0], k))
+            if (back := before[k]) >= 0 and (fresh := rank.get((out[back], out[k]))) is not None:
+                heapq.heappush(heap, (fresh[0], back))
+        return [x for x in out if x >= 0]
 
     def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """merge() of each piece: all tokens, and how many each piece has. A merge of every piece at a time; tokens are linked, so nothing is moved."""

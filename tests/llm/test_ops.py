@@ -303,6 +303,17 @@ def test_images():
     assert media.decode(None) is None and media.decode(b"") is None and media.decode(b"P6 9 9 255\n") is None and media.decode(b"junk") is None
 
 
+def test_broken_images_are_none():
+    bmp = media.encode_bmp(__import__("numpy").zeros((2, 2, 3), "u1"))
+    broken = [b"P5 99999999999 99999999999 255\n", b"P5 99999999 99999999 255\nab", b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 1 1 255 x", b"P5 1 1 0\n\0", b"P5 1 1 9\n\xff", b"P2 1 1 9 10", b"P1 3 1 10", b"P4 99 99\n\0",
+              b"P6", b"P7 1 1 255\n\0", b"P5 0 1 255\n", b"P5 # no end", b"BM", bmp[:40], bmp[:-9], bmp[:18] + b"\xff\xff\xff\x7f" + bmp[22:], bmp[:18] + b"\xff\xff\xff\xff" + bmp[22:], bmp[:10] + b"\xff\xff\xff\xff" + bmp[14:]]
+    for data in broken:
+        assert media.decode(data) is None, data
+    flat = lambda data: media.decode(data).reshape(-1).tolist()
+    assert flat(b"P5 2 1 1\n\0\1") == flat(b"P2 2 1 1 0 1") == flat(b"P1 2 1 10") == flat(b"P4 2 1\n\x80") == [0, 255]
+    assert flat(b"P2 2 1 15 0 15") == [0, 255] and flat(b"P3 1 1 255 1 2 3") == [1, 2, 3]
+
+
 def test_pattern_rules(spark):
     urls = ["http://spam-farm.com/", "http://a.spam-farm.org/x", "http://spam.farm.org/", "http://notspam-farm.net/", "http://h.de/casino?x", "http://h.de/casinos", "http://casino-x.ru/", "http://h.de/?session=" + "0af1" * 8,
             "http://h.de/?session=1", "HTTP://ADS.h.de/pixel?1", "http://xxx-y.z/", None, ""]
@@ -389,6 +400,19 @@ def test_bpe(spark, folder):
         assert due in {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows[i]}
 
 
+def test_bpe_of_very_long_pieces():
+    """A run of a million letters takes seconds, and merges as short ones do."""
+    import time
+
+    own = bpe.load("byte_bpe_50k.json")
+    for piece in (b"a" * 700, b"abcab" * 90, "ßaé".encode() * 70, bytes(range(97, 123)) * 9):
+        flat, sizes = own.merge_many([piece])
+        assert own.merge(piece) == flat.tolist() and sizes.tolist() == [len(flat)]
+    began = time.perf_counter()
+    ids = own.encode_batch(["qz" * 500_000])[0]
+    assert time.perf_counter() - began < 60 and len(ids) > 0
+
+
 def test_native_plans(spark, folder):
     for make in (quality_rules.op6_quality_rules, license_scan.op10_license_scan):
         plan = make(spark, folder)._jdf.queryExecution().toString()

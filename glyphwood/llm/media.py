@@ -3,7 +3,10 @@
 Images are decoded to (height, width, channels) arrays of 8-bit samples. Resizing takes exact area means from an integral
 image, read at fractional corners by bilinear interpolation. A difference hash compares neighbours of a small grey image.
 
-Defined results: null bytes or an unknown or broken format decode to None and give null columns; a null text is an empty
+`media_columns` returns tiles; `op4_media_columns` stores texts as PPM and returns digests of what it has stored.
+
+Defined results: null bytes, an unknown or broken format, samples above the header's greatest and headers that claim more
+than the file holds decode to None and give null columns; a null text is an empty
 text; equal payloads give equal columns; images of one row or column are resized like others.
 """
 
@@ -22,12 +25,14 @@ from .common import crc, map_arrow, table
 ROW = 192
 #: Side of the square NPY tiles.
 TILE = 16
+#: Digits of a number in a Netpbm header.
+MOST_DIGITS = 9
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 with at most 8 bits a sample."""
-    kind, at, numbers = data[:2], 2, []
-    need = 2 if kind in (b"P1", b"P4") else 3
+def header_numbers(data: bytes, need: int) -> tuple[list[int], int]:
+    """The numbers of a Netpbm header, and where they end; comments run to the ends of their lines."""
+    numbers: list[int] = []
+    at = 2
     while len(numbers) < need:
         while data[at : at + 1].isspace():
             at += 1
@@ -37,39 +42,58 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         end = at
         while data[end : end + 1].isdigit():
             end += 1
+        if not 0 < end - at <= MOST_DIGITS:
+            raise ValueError("not a number")
         numbers.append(int(data[at:end]))
         at = end
-    width, height = numbers[:2]
-    top = numbers[2] if need == 3 else 1
-    if top > 255 or not width or not height:
-        raise ValueError("only images of 8-bit samples")
+    return numbers, at
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 with at most 8 bits a sample, which are brought to 0 to 255."""
+    kind = data[:2]
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("not Netpbm")
+    bitmap = kind in (b"P1", b"P4")
+    numbers, at = header_numbers(data, 2 if bitmap else 3)
+    width, height, top = *numbers[:2], 1 if bitmap else numbers[2]
     depth = 3 if kind in (b"P3", b"P6") else 1
+    size = width * height * depth
+    if not 0 < top <= 255 or not size:
+        raise ValueError("only images of 8-bit samples")
+    if size > 8 * (len(data) - at):  # a sample takes a bit at least, so nothing larger than the file is made
+        raise ValueError("less data than the header says")
     if kind in (b"P5", b"P6"):
-        flat = np.frombuffer(data, np.uint8, width * height * depth, at + 1)
+        flat = np.frombuffer(data, np.uint8, size, at + 1)
     elif kind == b"P4":
         rows = np.frombuffer(data, np.uint8, (width + 7) // 8 * height, at + 1).reshape(height, -1)
-        flat = 255 - 255 * np.unpackbits(rows, axis=1)[:, :width]
+        flat = 1 - np.unpackbits(rows, axis=1)[:, :width].reshape(-1)
     elif kind == b"P1":
-        bits = [c - 48 for c in data[at:] if c in b"01"][: width * height]
-        flat = 255 - 255 * np.array(bits, np.uint8)
-    elif kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[: width * height * depth], np.uint8)
+        bits = np.frombuffer(data, np.uint8, offset=at)
+        flat = 1 - (bits[(bits == 48) | (bits == 49)][:size] - 48)
     else:
-        raise ValueError("not Netpbm")
+        samples = data[at:].split(maxsplit=size)[:size]
+        if any(len(x) > 3 or not x.isdigit() for x in samples):
+            raise ValueError("a sample is no number")
+        flat = np.array(samples, np.uint16)
+    if len(flat) != size or int(flat.max()) > top:
+        raise ValueError("a sample is missing or above the greatest")
     out = flat.reshape(height, width, depth)
-    return out if top in (1, 255) else (out.astype(np.uint16) * 255 // top).astype(np.uint8)
+    return out.astype(np.uint8, copy=False) if top == 255 else (out.astype(np.uint16) * 255 // top).astype(np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 8 (palette), 24 or 32 bits."""
     start = struct.unpack_from("<I", data, 10)[0]
     header, width, height, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
-    if data[:2] != b"BM" or packing not in (0, 3) or bits not in (8, 24, 32):
+    if data[:2] != b"BM" or packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("not a plain BMP")
     stride, rows = (width * bits // 8 + 3) // 4 * 4, abs(height)
+    if start < 14 + header or stride * rows > len(data) - start:
+        raise ValueError("less data than the header says")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if bits == 8:
-        palette = np.frombuffer(data, np.uint8, start - 14 - header, 14 + header).reshape(-1, 4)
+        palette = np.frombuffer(data, np.uint8, (start - 14 - header) // 4 * 4, 14 + header).reshape(-1, 4)
         out = palette[raw[:, :width]][:, :, 2::-1]
     else:
         out = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
@@ -80,7 +104,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
     """The image in `data`, or None."""
     try:
         return None if not data else decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, struct.error, IndexError, OverflowError):
         return None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import inspect
 import tempfile
 import uuid
 import zlib
@@ -21,6 +22,8 @@ from pyspark.sql.types import StructType
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch handed to Python; long texts make small batches cheap to hold.
 ARROW_ROWS = 1000
+#: Bytes of a row group of written tables: a task holds one in memory while it writes.
+ROW_GROUP = 16 << 20
 
 
 #: Arrays from this size on get pages of their own, which go back to the system when the array goes; smaller ones are
@@ -60,6 +63,34 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def tidy(user: str, f: Callable) -> Callable:
+    """f, run by a task of an operator, leaving a worker without what other operators keep and what f took: idle workers
+    hold their memory. f takes and yields batches, or takes groups and returns one."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches: Iterator) -> Iterator:
+            working(user)
+            yield from f(batches)
+            give_back()
+
+        return run
+    names = list(inspect.signature(f).parameters)
+
+    def one(group):
+        working(user)
+        out = f(group)
+        give_back()
+        return out
+
+    def two(left, right):
+        working(user)
+        out = f(left, right)
+        give_back()
+        return out
+
+    return one if len(names) == 1 else two
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,7 +122,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as compressed Parquet in the shared folder and read back: cuts lineage and fixes partitions."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -106,14 +137,12 @@ def map_arrow(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]],
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working(user)
         for b in batches:
             if b.num_rows:
                 out = make({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
-        give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(user, run), schema)
 
 
 # ---- blocks of sorted 64-bit keys -------------------------------------------------------------------------------

@@ -333,7 +333,7 @@ def test_quality_lm(spark, folder):
     labels = [(i, int(i % 3 != 0)) for i, *_ in DOCS if i is not None]
     good = {i for i, q in labels if q} - {i for i, q in labels if not q} | set()
     good -= {0}  # two labels that differ
-    train = [t.encode() for i, t, *_ in DOCS if i in good and t and 0 < len(t.encode()) <= quality_lm.TRAIN_BYTES]
+    train = [t.encode() for i, t, *_ in DOCS if i in good and t]
     p = brute.kneser_ney(train, quality_lm.ORDER)
     for i, t, *_ in DOCS[:48] + DOCS[-3:]:
         for r in rows[i]:
@@ -343,8 +343,49 @@ def test_quality_lm(spark, folder):
                 assert r.perplexity is None and r.kept is False
 
 
+def quantile(values: list[float], q: float) -> float:
+    return sorted(values)[max(math.ceil(q * len(values)) - 1, 0)]
+
+
+@pytest.mark.parametrize("block", [6_000_000, 3_000])
+def test_quality_verdicts(spark, folder, monkeypatch, block):
+    """Thresholds by language and verdicts, from the perplexities, by hand; in blocks of all rows and of a few."""
+    monkeypatch.setattr(quality_lm, "FEWEST", 9)
+    monkeypatch.setattr(quality_lm, "SPREADS", 0.6)
+    monkeypatch.setattr(quality_lm, "BLOCK", block)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality_lm.classify(docs, labels).collect()
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r.doc_id, set()).add(r.quality)
+    good = {i for i, q in marks.items() if i is not None and q - {None} == {1}}
+    trusted = [r for r in rows if r.doc_id in good and r.perplexity is not None]
+    limit = lambda xs: quantile(xs, 0.5) + 0.6 * (quantile(xs, quality_lm.UPPER) - quantile(xs, 0.5))
+    by = {g: xs for g in ("en", "de", "fr") if len(xs := [r.perplexity for r in trusted if r.lang == g]) >= 9}
+    every = limit([r.perplexity for r in trusted])
+    assert by and len(rows) == docs.count()
+    for r in rows:
+        most = limit(by[r.lang]) if r.lang in by else every
+        assert math.isclose(r.most, most, rel_tol=1e-9) and r.kept == (r.perplexity is not None and r.perplexity <= most)
+    assert {r.kept for r in rows if r.perplexity} == {True, False}
+    kept = quality_lm.quality_filter(docs, labels)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
+
+
+def test_quality_of_shards_in_parts(spark, folder, monkeypatch):
+    """Questions in many parts, of which each has a copy of its shard, and extra columns with clashing names."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    due = Counter((r.doc_id, r.perplexity) for r in quality_lm.classify(docs, labels).collect())
+    monkeypatch.setattr(quality_lm, "PER_GROUP", 20_000)
+    monkeypatch.setattr(quality_lm, "SLICE", 500)
+    more = docs.selectExpr("*", "1 AS perplexity", "'x' AS block", "lang AS most", "array(doc_id) AS _row")
+    assert Counter((r.doc_id, r.perplexity) for r in quality_lm.classify(more, labels).collect()) == due
+    assert quality_lm.quality_filter(more, labels).columns == more.columns
+
+
 def test_quality_filter_of_many_languages(spark, folder, monkeypatch):
-    """Beyond MOST_LANGUAGES the filter joins its limits, and keeps the same rows."""
+    """Beyond MOST_LANGUAGES the filter joins its limits by a shuffle, and keeps the same rows."""
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     monkeypatch.setattr(quality_lm, "FEWEST", 2)
     due = quality_lm.quality_filter(docs, labels)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, pack, pack_sorted, small_batches, table, text_bytes, unpack, unpack_sorted, written
+from .common import blocks, keeps, mix, pack, pack_sorted, small_batches, table, text_bytes, tidy, unpack, unpack_sorted, written
 
 MU = 100.0
 CONTEXT, NEXT = 26, 38
@@ -46,6 +46,7 @@ MOST_KEPT = 300_000
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _words: dict[bytes, int] = {}
+keeps("lm", _words.clear)
 
 
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +211,7 @@ def asked(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
                 rows += [(name, kind, s, pack_sorted(keys[a:b]), pack(own[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS_DDL)
+    return docs.select("doc_id", "text").mapInArrow(tidy("lm", run), ROWS_DDL)
 
 
 def answered(rows: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def answered(rows: DataFrame) -> DataFrame:
             out.loc[len(out)] = [None, kind, group["shard"].iloc[0], None, int(counts.sum()), int((counts > 0).sum())]
         return out
 
-    return rows.groupBy("kind", "shard").applyInPandas(run, "block string, kind string, shard int, answer binary, tokens long, words long")
+    return rows.groupBy("kind", "shard").applyInPandas(tidy("lm", run), "block string, kind string, shard int, answer binary, tokens long, words long")
 
 
 def scores(docs: DataFrame, mu: float = MU) -> DataFrame:
@@ -272,7 +273,7 @@ def scores(docs: DataFrame, mu: float = MU) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.filter("kind = 'docs'").groupBy("block").cogroup(told.filter("block IS NOT NULL").groupBy("block")).applyInPandas(finish, ddl)
+    return rows.filter("kind = 'docs'").groupBy("block").cogroup(told.filter("block IS NOT NULL").groupBy("block")).applyInPandas(tidy("lm", finish), ddl)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keeps, map_arrow, small_batches, table, written
+from .common import checkpointed, keeps, map_arrow, small_batches, table, tidy, written
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
@@ -53,7 +53,7 @@ HOT, LEAST_HOT, PIVOTS = 2000, SMALL, 4
 MAYBE, SURELY = 0.66, 0.95
 #: Edges of a contracted graph that one task may join.
 MOST_AT_ONCE = 10_000
-MOST_KEPT = 300_000
+MOST_KEPT = 150_000
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _FACTORS = _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,7 +217,7 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
                     node, at = branch(matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), known, level)
                     yield pd.DataFrame({"node": signed(node[at == level])})
 
-        return reps.select("heads", "sketch").mapInPandas(run, "node long")
+        return reps.select("heads", "sketch").mapInPandas(tidy("near", run), "node long")
 
     for level in range(LEVELS):
         found = keys_at(level).groupBy("node").count().filter(F.col("count") > least).select("node").collect()
@@ -249,7 +249,7 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
 
     pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if len(every):
-        best = reps.select("a", "heads", "sketch").mapInPandas(popular, "node long, score long, a long, sketch binary")
+        best = reps.select("a", "heads", "sketch").mapInPandas(tidy("near", popular), "node long, score long, a long, sketch binary")
         order = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "a", "sketch"))), 1, PIVOTS)
         for r in best.groupBy("node").agg(order.alias("p")).collect():
             pivots[r[0]] = (np.array([p["a"] for p in r[1]]), np.array([np.frombuffer(p["sketch"], np.uint8) for p in r[1]]))
@@ -319,11 +319,11 @@ def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
         return framed(out)
 
     small_batches(spark, 4000)
-    cold = reps.select("a", "n", "heads", "sketch").mapInPandas(rows, "node long, tree int, level int, a long, n long, sketch binary")
+    cold = reps.select("a", "n", "heads", "sketch").mapInPandas(tidy("near", rows), "node long, tree int, level int, a long, n long, sketch binary")
     shuffled = cold.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
-    out = shuffled.mapInPandas(inside, "a long, b long, first boolean")
+    out = shuffled.mapInPandas(tidy("near", inside), "a long, b long, first boolean")
     if pivots:
-        out = out.unionByName(reps.select("a", "heads", "sketch").mapInPandas(stars, "a long, b long, first boolean"))
+        out = out.unionByName(reps.select("a", "heads", "sketch").mapInPandas(tidy("near", stars), "a long, b long, first boolean"))
     return out.filter("a <> b").groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
@@ -378,7 +378,7 @@ def joined_at_once(edges: DataFrame) -> DataFrame:
         roots = spanning(back.reshape(-1, 2), len(names))[1]
         yield pd.DataFrame({"v": names, "c": names[roots]})
 
-    return edges.coalesce(1).mapInPandas(run, "v long, c long")
+    return edges.coalesce(1).mapInPandas(tidy("near", run), "v long, c long")
 
 
 def components(links: DataFrame) -> DataFrame:

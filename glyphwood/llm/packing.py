@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc, keeps, map_arrow, table
+from .common import checkpointed, crc, keeps, map_arrow, table, tidy
 
 CAPACITY = 2048
 #: Chunks between white space, and words, whose ids a worker keeps.
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 #: With other characters than these, a text goes through the library whole: ASCII, and letters and signs of Latin scripts
 #: but numerals (² to ¹, fractions) and U+0130, on which splitting or lower-casing may differ.
 ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|[²³¹¼½¾İ]")
@@ -227,7 +227,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 yield f.assign(sequence_id=row[:, 3] + rank - row[:, 1], offset=row[:, 4])
 
     kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names)
-    return ranged.mapInPandas(assign, f"{kinds}, sequence_id long, offset long")
+    return ranged.mapInPandas(tidy("packing", assign), f"{kinds}, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

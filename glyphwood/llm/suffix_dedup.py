@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, unpack, unpack_docs, unpack_sorted, working, written
+from .common import blocks, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, tidy, unpack, unpack_docs, unpack_sorted, written
 
 LENGTH = 200
 #: Bytes of text of a block, bytes looked at at once, and bytes of text for each range of identifiers.
-BLOCK, SLICE, PER_SHARD = 6_000_000, 250_000, 8_000_000
+BLOCK, SLICE, PER_SHARD = 4_000_000, 250_000, 8_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -168,7 +168,6 @@ def first_round(docs: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        working("suffix")
         part = TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(blocks(batches, BLOCK)):
             block = f"{part}-{k}"
@@ -176,7 +175,7 @@ def first_round(docs: DataFrame, length: int, shards: int) -> DataFrame:
             keys, names, flags, _ = distinct_anchors(Runs(data, sizes, length))
             yield rows_batch([(block, "docs", -1, pack_docs(ids, texts), b""), *key_rows(block, keys, names << np.uint64(8) | flags, shards)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_DDL)
+    return docs.select("doc_id", "text").mapInArrow(tidy("suffix", run), BLOCK_DDL)
 
 
 def answers(keys: DataFrame, judge, shards: int) -> DataFrame:
@@ -189,7 +188,7 @@ def answers(keys: DataFrame, judge, shards: int) -> DataFrame:
         ends = np.cumsum([len(p) for p in parts])
         return pd.DataFrame({"block": group["block"], "shard": group["shard"], "answer": [pack(v) for v in np.split(verdict, ends[:-1])]})
 
-    return keys.groupBy("shard").applyInPandas(run, "block string, shard int, answer binary")
+    return keys.groupBy("shard").applyInPandas(tidy("suffix", run), "block string, shard int, answer binary")
 
 
 def judge_anchors(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -278,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digests: bool = False)
             out += key_rows(block, keys, (counts > 1).astype(np.uint8), shards)
         return pd.DataFrame(out, columns=["block", "kind", "shard", "payload", "extra"])
 
-    two = written(one.filter("kind = 'docs'").groupBy("block").cogroup(settled.groupBy("block")).applyInPandas(refine, BLOCK_DDL), "suffix-two")
+    two = written(one.filter("kind = 'docs'").groupBy("block").cogroup(settled.groupBy("block")).applyInPandas(tidy("suffix", refine), BLOCK_DDL), "suffix-two")
 
     def opened(payload: bytes, extra: bytes) -> tuple:
         ids, sizes, raw = unpack_docs(payload)
@@ -302,8 +301,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digests: bool = False)
         return finish(iter(rows))
 
     small_batches(docs.sparkSession, 8)
-    done = two.filter("kind = 'done'").select("payload", "extra").mapInPandas(plain, ddl)
-    rest = two.filter("kind = 'open'").groupBy("block").cogroup(answers(two.filter("kind = 'key'"), judge_windows, shards).groupBy("block")).applyInPandas(last_round, ddl)
+    done = two.filter("kind = 'done'").select("payload", "extra").mapInPandas(tidy("suffix", plain), ddl)
+    rest = two.filter("kind = 'open'").groupBy("block").cogroup(answers(two.filter("kind = 'key'"), judge_windows, shards).groupBy("block")).applyInPandas(tidy("suffix", last_round), ddl)
     return done.unionByName(rest)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphwood.config import Config
+from glyphwood.functions import text as t
 
 UNKNOWN = "unknown"
 BASE_COLUMNS = ("file", "doc_type", "doc_group", "topics", "date_added", "summary", "tree_index")
@@ -34,6 +35,17 @@ def placed(leaves: DataFrame, config: Config) -> DataFrame:
     )
 
 
+def leaf_text() -> Column:
+    """What a leaf says of its document: topics, summary, and the words of its path."""
+    return F.concat_ws(" ", "topics", "summary", F.regexp_replace("file", "[/._]", " "))
+
+
+def postings(leaves: DataFrame) -> DataFrame:
+    """file, w: the words of each leaf, once each. Made at publication, so that no search looks at summaries for them."""
+    words = leaves.select("file", t.token_set(leaf_text()).alias("_ws"))
+    return words.select("file", F.explode("_ws").alias("w"))
+
+
 def nodes(leaves: DataFrame, config: Config) -> DataFrame:
     """The nodes above the leaves: type, depth, path (values), field, value, documents, summary.
 

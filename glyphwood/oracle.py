@@ -273,7 +273,53 @@ def code_cases(summary: str, heading: str, root: str) -> str:
     return f"CASE WHEN {body} = '' THEN 'summary_missing' ELSE array_to_string(list_filter([{listed}], lambda z: z IS NOT NULL), ',') END"
 
 
+def routing_descent() -> str:
+    """Budget 15: the root, then of what is left a third for sources, half of the rest for languages, the rest for documents."""
+    ranked = lambda key, ties: f"row_number() OVER (PARTITION BY item_id ORDER BY {key} DESC, {ties})"
+    return f"""
+        WITH l AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.md' AS file, source AS s1, lang AS s2, list_distinct({tokens("text || ' ' || source || ' ' || lang || ' doc ' || doc_id || ' md'")}) AS ws FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT file, s1, s2, unnest(ws) AS w FROM l), qs AS (SELECT item_id, list_distinct({tokens("text")}) AS ts FROM benchmark), qw AS (SELECT item_id, unnest(ts) AS w, len(ts) AS n FROM qs),
+        met AS (SELECT item_id, n, w, file, s1, s2 FROM w JOIN qw USING (w)),
+        d1 AS (SELECT item_id, s1, count(DISTINCT w) / any_value(n) AS score FROM met GROUP BY item_id, s1),
+        d2 AS (SELECT item_id, s1, s2, count(DISTINCT w) / any_value(n) AS score FROM met GROUP BY item_id, s1, s2),
+        a1 AS (SELECT *, {ranked("score", "s1")} AS rank, 1 + least(count(*) OVER (PARTITION BY item_id), 4) AS used FROM (SELECT item_id, s1, coalesce(score, 0) AS score FROM (SELECT item_id, s1 FROM qs, (SELECT DISTINCT s1 FROM l) WHERE len(ts) > 0) LEFT JOIN d1 USING (item_id, s1))),
+        v1 AS (SELECT * FROM a1 WHERE rank <= 4),
+        a2 AS (SELECT *, {ranked("score", "s1, s2")} AS rank, greatest((15 - used) // 2, least(1, 15 - used)) AS due, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT v1.item_id, p.s1, p.s2, coalesce(d2.score, 0) AS score, used FROM v1 JOIN (SELECT DISTINCT s1, s2 FROM l) p USING (s1) LEFT JOIN d2 ON d2.item_id = v1.item_id AND d2.s1 = p.s1 AND d2.s2 = p.s2)),
+        v2 AS (SELECT *, used + least(n, due) AS total FROM a2 WHERE rank <= due),
+        found AS (
+            SELECT item_id, s1, s2, file, count(*) / any_value(n) AS score FROM met SEMI JOIN v2 USING (item_id, s1, s2) GROUP BY item_id, s1, s2, file
+            UNION ALL SELECT item_id, s1, s2, file, 0 FROM v2 JOIN (SELECT s1, s2, file, row_number() OVER (PARTITION BY s1, s2 ORDER BY file) AS r FROM l) f USING (s1, s2) WHERE r <= 15
+        ), a3 AS (SELECT *, {ranked("score", "file")} AS rank FROM (SELECT item_id, s1, s2, file, max(score) AS score FROM found GROUP BY ALL)),
+        v3 AS (SELECT a3.* FROM a3 JOIN (SELECT item_id, any_value(total) AS total FROM v2 GROUP BY item_id) USING (item_id) WHERE rank <= 15 - total)
+        SELECT item_id, 0::BIGINT AS depth, 1::BIGINT AS rank, '' AS path, NULL::VARCHAR AS file, 1.0::DOUBLE AS score FROM qs WHERE len(ts) > 0
+        UNION ALL SELECT item_id, 1, rank, s1, NULL, round(score, 4) FROM v1 UNION ALL SELECT item_id, 2, rank, s1 || '/' || s2, NULL, round(score, 4) FROM v2
+        UNION ALL SELECT item_id, 3, rank, s1 || '/' || s2, file, round(score, 4) FROM v3"""
+
+
+def descent_visited() -> str:
+    """Three documents for each item by shared words, then four levels of nodes by heading and first words, 25 peeks in all."""
+    share = f"len(list_intersect(ts, list_distinct({tokens("title || ' ' || left(content, 200)")}))) / len(ts)"
+    levels = ""
+    for k in range(1, 5):
+        before = "found d" if k == 1 else f"v{k - 1} d"
+        on = "t.file = d.file AND len(t.path) = 1" if k == 1 else f"t.file = d.file AND len(t.path) = {k} AND t.path[1:{k - 1}] = d.path AND d.line_start IS NULL"
+        used = "0::BIGINT" if k == 1 else "d.used"
+        levels += f""",
+        a{k} AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_rank, file, path) AS r, count(*) OVER (PARTITION BY item_id) AS n FROM (
+            SELECT d.item_id, d.ts, d.doc_rank, {used} AS used, t.file, t.node_id, t.path, t.line_start, {share} AS score FROM {before} JOIN told t ON {on}) WHERE score > 0),
+        v{k} AS (SELECT item_id, ts, doc_rank, file, node_id, path, line_start, score, used + least(n, greatest(25 - used, 0)) AS used FROM a{k} WHERE r <= 25 - used)"""
+    every = " UNION ALL ".join(f"SELECT item_id, file, node_id, {k}::BIGINT AS depth, round(score, 4)::DOUBLE AS score FROM v{k}" for k in range(1, 5))
+    head = sql("SELECT 1 FROM tree JOIN sized JOIN vault").removesuffix("SELECT 1 FROM tree JOIN sized JOIN vault").rstrip()
+    return head + f""", told AS MATERIALIZED (SELECT t.file, t.node_id, t.path, t.title, t.line_start, z.content FROM tree t JOIN sized z ON z.task_id = {stem("t.file")} || ':' || t.node_id),
+        qs AS (SELECT item_id, list_distinct({tokens("text")}) AS ts FROM benchmark), qw AS (SELECT item_id, unnest(ts) AS w, len(ts) AS n FROM qs),
+        dw AS (SELECT file, unnest(list_distinct({tokens("content || ' ' || regexp_replace(file, '[/._]', ' ', 'g')")})) AS w FROM vault SEMI JOIN told USING (file)),
+        found AS (SELECT item_id, ts, file, r AS doc_rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, file) AS r FROM (SELECT item_id, file, count(*) / any_value(n) AS score FROM qw JOIN dw USING (w) GROUP BY item_id, file)) JOIN qs USING (item_id) WHERE r <= 3){levels}
+        {every}"""
+
+
 ORACLE: dict[str, str] = {
+    "routing_descent": routing_descent(),
+    "descent_visited": descent_visited(),
     "vault": sql("SELECT file, content FROM vault"),
     "fingerprint": sql("SELECT file, len(ls)::BIGINT AS line_count, sha256(content) AS sha256 FROM raw"),
     "lines": sql("SELECT file, n::BIGINT AS n, text, in_code, substantive, level::BIGINT AS level, underline FROM lines"),

@@ -15,7 +15,7 @@ from glyphwood.functions import text as t
 from glyphwood.operators import classify as classes
 from glyphwood.operators import cross_refs as refs
 from glyphwood.operators import maintenance, parse, publish, quality, routing, search, semantic, similarity, tree, validate
-from glyphwood.sources import vault
+from glyphwood.sources import scratch, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -533,14 +533,45 @@ def staleness(spark: SparkSession, sf: str) -> DataFrame:
     return search.staleness(docs, sources).select("file", "staleness")
 
 
+@query
+def routing_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the routing index that the benchmark's items, as questions about many documents, read: root, sources,
+    languages, documents."""
+    leaf_rows = scratch.written(documents(spark, sf).filter("text IS NOT NULL").select(
+        F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.lit("x").alias("doc_type"), F.col("source").alias("doc_group"), "lang",
+        F.lit(None).cast("string").alias("tree_index"), F.col("text").alias("summary"), F.array().cast("array<string>").alias("topics")), "leaves")
+    route = search.routing_descent(questions(spark, sf), leaf_rows, CONFIG, CONFIG.max_nodes, "aggregation")
+    return route.visited.select(F.col("query_id").alias("item_id"), *long("depth", "rank"), F.array_join("path", "/").alias("path"), "file", F.round("score", 4).alias("score"))
+
+
+def told_nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Source map, roots and nodes, with the first words of a node's text as its summary."""
+    whole = scratch.written(substantive(spark, sf), "source-map")
+    made, docs = scratch.written(tree.build(whole, CONFIG), "nodes"), tree.documents(whole, CONFIG)
+    told = semantic.tasks(made, docs, vault.table_vault(spark, sf), CONFIG).filter("kind = 'node'").select("file", "node_id", F.substring("content", 1, 200).alias("summary"))
+    return whole, docs, scratch.written(made.drop("summary").join(told, ["file", "node_id"]), "told")
+
+
+@query
+def descent_visited(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of a tree that the benchmark's items peek at, in the documents that hold most of their words."""
+    _, _, told = told_nodes(spark, sf)
+    name = F.concat(F.lit("src"), F.regexp_extract("file", "^src([0-9]+)/", 1))
+    texts = vault.table_vault(spark, sf).select("file", F.col("content").alias("summary"), F.array().cast("array<string>").alias("topics"), name.alias("tree_index"))
+    kept = texts.join(told.select("file").distinct(), "file", "left_semi")
+    found = scratch.written(search.routing_candidates(questions(spark, sf), kept, CONFIG, 3), "candidates")
+    way = search.descend(found, told, CONFIG.max_nodes_per_query, CONFIG.max_depth_per_branch)
+    return way.visited.select(F.col("query_id").alias("item_id"), "file", "node_id", *long("depth"), F.round("score", 4).alias("score"))
+
+
 @query
 def tree_descent(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark's items as questions to the whole vault: every citation within the budgets."""
-    whole = substantive(spark, sf)
-    made, docs, sources = tree.build(whole, CONFIG), tree.documents(whole, CONFIG), vault.table_vault(spark, sf)
-    text = whole.select("file", F.col("prose").alias("summary"))
-    leaf_rows = docs.select("file", "tree_index", F.array().cast("array<string>").alias("topics")).join(text, "file")
-    found = search.search(questions(spark, sf), leaf_rows, docs, made, sources, CONFIG, "aggregation")
+    whole, docs, told = told_nodes(spark, sf)
+    leaf_rows = docs.select("file", "tree_index", "doc_type", CONFIG.doc_group(F.col("doc_type")).alias("doc_group"), F.get(F.split("file", "/"), F.lit(1)).alias("lang"), F.array().cast("array<string>").alias("topics"))
+    leaf_rows = scratch.written(leaf_rows.join(whole.select("file", F.col("prose").alias("summary")), "file"), "leaves")
+    docs = scratch.written(docs, "docs")
+    found = search.explore(questions(spark, sf), leaf_rows, docs, told, vault.table_vault(spark, sf), CONFIG, "aggregation", stage=scratch.stage).cited
     return found.select("query_id", *long("rank"), "file", "node_id", *long("line_start", "line_end"), "score", "staleness", "citation")
 
 

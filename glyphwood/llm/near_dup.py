@@ -4,13 +4,15 @@ Documents are sets of word shingles. A document's minwise tokens are its least s
 several independent trees branches documents by the minwise token at a chosen order: a node holds the documents that agree
 on all tokens of its path, so similar documents tend to stay together. Small nodes are compared exhaustively by sketches
 (one byte of each of 128 minwise tokens), larger ones branch again. A node that still holds more than a fixed share of all
-documents (there are few such nodes: the share bounds their number) is never gathered: each of its documents is compared
-with the node's pivots, the members that agree most with large nodes in all trees, and then branches on.
+documents (there are few such nodes: the share bounds their number) isn't gathered: in the first levels each of its
+documents is compared with the node's pivots, the members that agree most with large nodes in all trees, and it branches on
+until it isn't hot, or DEPTH tokens of its members agree. What then stays together is looked at MOST_HELD rows at a time.
 
 Candidates are confirmed on the full sets, and the confirmed links' components give the result. Documents with equal sets
-are one vertex from the start, so copies never multiply. Links are wanted for what they connect: candidates whose sketches
-nearly agree are kept as a spanning forest only, and a forest of the other candidates is confirmed first; of the rest
-only those that would still join two components are confirmed, which gives the same components as confirming all.
+are one vertex from the start, so copies never multiply. Links are wanted for what they connect: a node first gives a
+spanning forest of its candidates, those that agree most before others. Once these are confirmed, nodes that had more
+candidates are looked at again, and give all candidates that lie between two components: the same components come out as
+if all had been confirmed, and a group of near copies gives pairs in proportion to its size.
 
 Defined results: a document without words (or with a null text) has an empty set, is linked with nothing and is its own
 component; one with fewer words than a shingle has its whole word sequence as its only shingle; the smallest doc_id of a
@@ -33,8 +35,8 @@ from .common import checkpointed, keeps, map_arrow, small_batches, table, tidy,
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
-#: Levels of branching between executors, minwise tokens.
-LEVELS, TOKENS = 4, 128
+#: Hot levels that have pivots, levels in all, those looked at together once a node is hot; minwise tokens.
+LEVELS, DEPTH, TOGETHER, TOKENS = 4, 62, 8, 128
 
 
 def trees_for(recall: float, similarity: float, depth: int) -> int:
@@ -49,8 +51,10 @@ TREES = trees_for(RECALL, PERCENT / 100, 1 + LEVELS)
 SMALL = 256
 #: A node with more than one in HOT of all documents, and than LEAST_HOT, is compared with PIVOTS pivots. At most HOT * TREES * LEVELS nodes are.
 HOT, LEAST_HOT, PIVOTS = 2000, SMALL, 4
-#: Sketch agreement that makes a candidate (0.8 less four deviations), and that counts as near certain.
-MAYBE, SURELY = 0.66, 0.95
+#: Sketch agreement that makes a candidate (0.8 less four deviations).
+MAYBE = 0.66
+#: Rows of one node that a task holds; members of it that later rows of it meet, if it has more.
+MOST_HELD, CARRIED = 60_000, 64
 #: Edges of a contracted graph that one task may join.
 MOST_AT_ONCE = 10_000
 MOST_KEPT = 150_000
@@ -116,14 +120,20 @@ def matrix(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
+def deeper(node: np.ndarray, tokens: np.ndarray, level: int) -> np.ndarray:
+    """The nodes below those of a level, by the tokens that come next."""
+    return _joined(node, tokens.astype(np.uint64) + np.uint64(level << 8))
+
+
 def branch(heads: np.ndarray, sketch: np.ndarray, hot: list[np.ndarray], upto: int) -> tuple[np.ndarray, np.ndarray]:
     """For each document and tree: its node at the first level where that isn't hot, `upto` at most, and that level."""
     node = _joined(np.broadcast_to(np.arange(TREES, dtype=np.uint64), heads.shape), heads.astype(np.uint64))
     level = np.zeros(heads.shape, np.int64)
     for k in range(upto):
         on = (level == k) & np.isin(node, hot[k])
-        deeper = _joined(node, sketch[:, _CHOSEN[:, k + 1]].astype(np.uint64) + np.uint64(k << 8))
-        node, level = np.where(on, deeper, node), np.where(on, k + 1, level)
+        if not on.any():
+            break
+        node, level = np.where(on, deeper(node, sketch[:, _CHOSEN[:, k + 1]], k), node), np.where(on, k + 1, level)
     return node, level
 
 
@@ -150,181 +160,311 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.array(out, np.int64), np.array([root(x) for x in range(n)])
 
 
-def compare(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Candidates among a few documents, as rows (a, b, first): pairs that nearly agree as a forest, and all likely pairs
-    across its trees. A forest of the latter, those that agree most, comes first; the rest is looked at only if needed."""
-    n = len(ids)
-    a, b = np.triu_indices(n, 1)
+def likely(sizes: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (places) of a few documents that may be similar, those that agree most first."""
+    a, b = np.triu_indices(len(sizes), 1)
     fit = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     a, b = a[fit], b[fit]
     agree = np.concatenate([(sketch[a[k : k + 4096]] == sketch[b[k : k + 4096]]).mean(axis=1) for k in range(0, len(a), 4096)] or [np.zeros(0)])
     order = np.argsort(-agree, kind="stable")
-    order = order[agree[order] >= MAYBE - (0.8 - percent / 100)]
-    pairs, agree = np.stack([a[order], b[order]], axis=1), agree[order]
-    sure = agree >= SURELY
-    forest, roots = spanning(pairs[sure], n)
-    rest = pairs[~sure]
-    rest = rest[roots[rest[:, 0]] != roots[rest[:, 1]]]
-    ahead = np.zeros(len(rest), bool)
-    ahead[spanning(rest, n)[0]] = True
-    chosen = np.concatenate([pairs[sure][forest], rest])
-    return np.column_stack([ids[chosen], np.concatenate([np.ones(len(forest), bool), ahead])])
-
-
-def join_node(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int, tree: int, level: int) -> Iterator[np.ndarray]:
-    """Candidates in a node: branches by its tree's own orders until nodes are small, then compares."""
-    if len(ids) <= SMALL or level >= 48:
-        for k in range(0, len(ids), SMALL):  # beyond SMALL only after 48 branchings: block against block
-            for j in range(0, k + 1, SMALL):
-                both = np.unique(np.concatenate([np.arange(k, min(k + SMALL, len(ids))), np.arange(j, min(j + SMALL, len(ids)))]))
-                yield compare(ids[both], sizes[both], sketch[both], percent)
-        return
-    tokens = sketch[:, _CHOSEN[tree, level]]
-    values, counts = np.unique(tokens, return_counts=True)
-    if counts.max() > 0.7 * len(ids):  # mostly alike: each is compared with the member that agrees most with all
-        common = (sketch == np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T])).sum(axis=1)
-        for k, p in enumerate(np.argsort(-common, kind="stable")[:PIVOTS]):
-            near = np.flatnonzero((sketch == sketch[p]).mean(axis=1) >= MAYBE)
-            near = near[near != p]
-            yield np.stack([ids[near], np.full(len(near), ids[p]), np.full(len(near), k == 0)], axis=1)
-    for v in values[counts > 1]:
-        on = tokens == v
-        yield from join_node(ids[on], sizes[on], sketch[on], percent, tree, level + 1)
-
-
-def framed(parts: list[np.ndarray]) -> pd.DataFrame:
-    """Rows (a, b, first) as a frame of distinct pairs, the lesser id first."""
-    rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
-    low, high = rows[:, :2].min(axis=1), rows[:, :2].max(axis=1)
-    order = np.lexsort([-rows[:, 2], high, low])
-    low, high, first = low[order], high[order], rows[order, 2] > 0
-    new = np.concatenate([np.ones(min(len(low), 1), bool), (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    return pd.DataFrame({"a": low[new], "b": high[new], "first": first[new]})
-
-
-def candidates(reps: DataFrame, total: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of vertices that may be similar, and whether they are to be confirmed first."""
-    spark = reps.sparkSession
-    least = max(total // HOT, LEAST_HOT, SMALL)  # what may be compared exhaustively isn't hot, whatever the table's size
-    hot: list[np.ndarray] = []
-
-    def keys_at(level: int) -> DataFrame:
-        known = list(hot)
+    order = order[agree[order] >= least_agreement(percent)]
+    return np.stack([a[order], b[order]], axis=1)
+
+
+def least_agreement(percent: int) -> float:
+    return MAYBE - (0.8 - percent / 100)
+
+
+#: What a node gives: pairs to be confirmed first, and sets of members whose other pairs may have to be (places of the
+#: members, the hub that alone is paired with the others, or -1).
+Found = tuple[np.ndarray, list[tuple[np.ndarray, int]]]
+
+
+def compare(sizes: np.ndarray, sketch: np.ndarray, percent: int) -> Found:
+    """A forest of the likely pairs among a few documents, and the members of all others."""
+    pairs = likely(sizes, sketch, percent)
+    forest = spanning(pairs, len(sizes))[0]
+    rest = np.ones(len(pairs), bool)
+    rest[forest] = False
+    return pairs[forest], [(np.unique(pairs[rest]), -1)] if rest.any() else []
+
+
+def join_node(sizes: np.ndarray, sketch: np.ndarray, percent: int, tree: int, level: int, small: int = SMALL) -> Iterator[tuple[np.ndarray, Found]]:
+    """Members (places) and findings of the small nodes of a node: branches by its tree's own orders until nodes are small,
+    then compares."""
+    agreement = least_agreement(percent)
+    todo, entry = [(np.arange(len(sizes)), level)], level
+    while todo:
+        own, level = todo.pop()
+        part = sketch[own]
+        if len(own) <= small:
+            yield own, compare(sizes[own], part, percent)
+            continue
+        if level > DEPTH:  # all agree on half of their tokens: who isn't near the first is compared with all
+            near = (part == part[0]).mean(axis=1) >= agreement
+            at, rest = np.flatnonzero(near)[1:], np.flatnonzero(~near)
+            yield own, (np.stack([at, np.zeros(len(at), np.int64)], axis=1), [])
+            for k in range(0, len(rest), small // 2):
+                for j in range(0, len(own), small // 2):
+                    both = own[np.unique(np.concatenate([rest[k : k + small // 2], np.arange(j, min(j + small // 2, len(own)))]))]
+                    yield both, compare(sizes[both], sketch[both], percent)
+            continue
+        tokens = part[:, _CHOSEN[tree, level]]
+        values, counts = np.unique(tokens, return_counts=True)
+        if level == entry and counts.max() > 0.7 * len(own):  # mostly alike: each is compared with the members that agree most with all
+            common = (part == np.array([np.bincount(c, minlength=256).argmax() for c in part.T])).sum(axis=1)
+            for k, p in enumerate(np.argsort(-common, kind="stable")[:PIVOTS].tolist()):
+                near = np.flatnonzero((part == part[p]).mean(axis=1) >= agreement)
+                near = near[near != p]
+                pairs = np.stack([near, np.full(len(near), p)], axis=1)
+                yield own, (pairs, []) if k == 0 else (pairs[:0], [(np.append(near, p), p)] if len(near) else [])
+        todo += [(own[tokens == v], level + 1) for v in values[counts > 1].tolist()]
+
+
+PAIRS_DDL = "a long, b long, x long, y long"
+FOUND_DDL = "a long, b long, uid long, hub boolean, n long, sketch binary"
+
+
+def framed(pairs: list[np.ndarray]) -> pd.DataFrame:
+    """Distinct pairs as a frame, the lesser id first."""
+    rows = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    rows = np.unique(np.sort(rows, axis=1), axis=0) if len(rows) else rows
+    return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
+
+
+class Nodes:
+    """The tree's nodes that are hot, and their pivots. What is here is bounded by HOT, trees and levels."""
+
+    def __init__(self, reps: DataFrame, total: int, percent: int):
+        self.reps, self.percent, self.small, self.most_held = reps, percent, SMALL, MOST_HELD
+        #: What may be compared exhaustively isn't hot, whatever the table's size.
+        self.least = max(total // HOT, LEAST_HOT, SMALL)
+        self.hot: list[np.ndarray] = []
+        step = 1
+        while len(self.hot) <= DEPTH - 1:
+            found = self._hot_from(len(self.hot), min(step, DEPTH - len(self.hot)))
+            self.hot += found
+            step = TOGETHER
+            if not len(found[-1]):
+                break
+        while self.hot and not len(self.hot[-1]):
+            self.hot.pop()
+        self.starred = min(len(self.hot), LEVELS)
+        self.pivots = self._best() if self.hot else {}
+
+    def __getstate__(self) -> dict:
+        """What tasks get along."""
+        return {k: v for k, v in self.__dict__.items() if k != "reps"}
+
+    def _hot_from(self, first: int, levels: int) -> list[np.ndarray]:
+        """Hot nodes of some levels: members of hot nodes are counted at all of them at once."""
+        hot = list(self.hot)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
-                    node, at = branch(matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), known, level)
-                    yield pd.DataFrame({"node": signed(node[at == level])})
+                    sketch = matrix(f["sketch"], "u1")
+                    node, at = branch(matrix(f["heads"], "<u4"), sketch, hot, first)
+                    row, tree = np.nonzero(at == first)
+                    own, parts = node[row, tree], []
+                    for k in range(first, first + levels):
+                        if k > first:
+                            own = deeper(own, sketch[row, _CHOSEN[tree, k]], k - 1)
+                        keys, counts = np.unique(own, return_counts=True)
+                        parts.append(pd.DataFrame({"level": k, "node": signed(keys), "count": counts}))
+                    yield pd.concat(parts)
+
+        counted = self.reps.select("heads", "sketch").mapInPandas(tidy("near", run), "level int, node long, count long")
+        rows = counted.groupBy("level", "node").agg(F.sum("count").alias("n")).filter(F.col("n") > self.least).select("level", "node").collect()
+        out: list[list[int]] = [[] for _ in range(levels)]
+        for level, node in rows:
+            out[level - first].append(node)
+        return [np.array(sorted(x), np.int64).view(np.uint64) for x in out]
+
+    def on(self, heads: np.ndarray, sketch: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's node at a level by tree, and where that is hot."""
+        node, at = branch(heads, sketch, self.hot, level)
+        return node, (at == level) & np.isin(node, self.hot[level])
+
+    def _best(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        def popular(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Of each frame, the best pivots of each hot node."""
+            for f in frames:
+                if not len(f):
+                    continue
+                heads, sketch = matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1")
+                score, nodes = np.zeros(len(f), np.int64), []
+                for k in range(self.starred):
+                    node, on = self.on(heads, sketch, k)
+                    score += on.sum(axis=1)
+                    nodes.append((node, on))
+                ids = f["a"].to_numpy()
+                parts = []
+                for node, on in nodes:
+                    row, tree = np.nonzero(on)
+                    parts.append(pd.DataFrame({"node": signed(node[row, tree]), "score": score[row], "a": ids[row], "row": row}))
+                best = pd.concat(parts).sort_values(["score", "a"], ascending=[False, True]).groupby("node").head(PIVOTS)
+                yield best.assign(sketch=f["sketch"].to_numpy()[best["row"]])[["node", "score", "a", "sketch"]]
+
+        best = self.reps.select("a", "heads", "sketch").mapInPandas(tidy("near", popular), "node long, score long, a long, sketch binary")
+        order = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "a", "sketch"))), 1, PIVOTS)
+        return {r[0]: (np.array([p["a"] for p in r[1]]), np.array([np.frombuffer(p["sketch"], np.uint8) for p in r[1]])) for r in best.groupBy("node").agg(order.alias("p")).collect()}
+
+    def near_pivots(self, f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each hot node of a frame's documents: places, its pivots' ids, and the agreement of each pivot with each (0
+        where it is too little, or a pivot itself)."""
+        heads, sketch, ids = matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), f["a"].to_numpy()
+        for k in range(self.starred):
+            node, on = self.on(heads, sketch, k)
+            for x in np.unique(signed(node[on])).tolist():
+                members = np.flatnonzero((on & (signed(node) == x)).any(axis=1))
+                agree = np.stack([(sketch[members] == own).mean(axis=1) for own in self.pivots[x][1]])
+                agree[(self.pivots[x][0][:, None] == ids[members]) | (agree < least_agreement(self.percent))] = 0
+                yield members, self.pivots[x][0], agree
+
+    def first(self) -> DataFrame:
+        """Of FOUND_DDL: pairs (a, b) to be confirmed first, in forests of their nodes; and, with a uid, members whose other
+        pairs are looked at again once components are known."""
+        percent, hot = self.percent, self.hot
+
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each document's nodes that are not hot (or can't be branched further)."""
+            for f in frames:
+                if len(f):
+                    node, at = branch(matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), hot, len(hot))
+                    row, tree = np.nonzero(at >= 0)
+                    yield pd.DataFrame({"node": signed(node[row, tree]), "tree": tree, "level": at[row, tree], "a": f["a"].to_numpy()[row], "n": f["n"].to_numpy()[row], "sketch": f["sketch"].to_numpy()[row]})
 
-        return reps.select("heads", "sketch").mapInPandas(tidy("near", run), "node long")
+        def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Nodes, whose rows follow each other."""
+            from pyspark import TaskContext
 
-    for level in range(LEVELS):
-        found = keys_at(level).groupBy("node").count().filter(F.col("count") > least).select("node").collect()
-        hot.append(np.array(sorted(r[0] for r in found), np.int64).view(np.uint64))
-        if not found:
-            break
-    levels = len(hot) - 1 if not len(hot[-1]) else len(hot)
-    every = np.unique(np.concatenate(hot))
+            uid = TaskContext.get().partitionId() << 40
+            held: pd.DataFrame | None = None
+            for f in frames:
+                held = f if held is None else pd.concat([held, f], ignore_index=True)
+                if len(held) < 20_000:
+                    continue
+                tail = held["node"] == held["node"].iloc[-1]
+                if not tail.all():
+                    yield self._found(held[~tail], uid)
+                    held = held[tail].reset_index(drop=True)
+                elif len(held) >= self.most_held:  # only a node that stayed hot to the last level is as large
+                    yield self._found(held, uid)
+                    held = held[:CARRIED]
+                else:
+                    continue
+                uid += 1 << 24
+            if held is not None and len(held):
+                yield self._found(held, uid)
+
+        small_batches(self.reps.sparkSession, 4000)
+        cold = self.reps.select("a", "n", "heads", "sketch").mapInPandas(tidy("near", rows), "node long, tree int, level int, a long, n long, sketch binary")
+        shuffled = cold.repartition(int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
+        out = shuffled.mapInPandas(tidy("near", inside), FOUND_DDL)
+        if not self.pivots:
+            return out
+
+        def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each document with the best pivot of each of its hot nodes."""
+            for f in frames:
+                if len(f):
+                    ids, pairs = f["a"].to_numpy(), []
+                    for members, pivots, agree in self.near_pivots(f):
+                        best, near = agree.argmax(axis=0), agree.max(axis=0) > 0
+                        pairs.append(np.stack([ids[members[near]], pivots[best[near]]], axis=1))
+                    yield framed(pairs).assign(uid=None, hub=False, n=0, sketch=None).astype({"uid": "Int64"})
 
-    def popular(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each frame, the best pivots of each hot node."""
-        for f in frames:
-            if not len(f):
-                continue
-            heads, sketch = matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1")
-            score, nodes = np.zeros(len(f), np.int64), []
-            for k in range(levels):
-                node, at = branch(heads, sketch, hot, k)
-                on = (at == k) & np.isin(node, hot[k])
-                score += on.sum(axis=1)
-                nodes.append((node, on))
-            ids = f["a"].to_numpy()
-            parts = []
-            for node, on in nodes:
-                row, tree = np.nonzero(on)
-                parts.append(pd.DataFrame({"node": signed(node[row, tree]), "score": score[row], "a": ids[row], "row": row}))
-            best = pd.concat(parts).sort_values(["score", "a"], ascending=[False, True]).groupby("node").head(PIVOTS)
-            yield best.assign(sketch=f["sketch"].to_numpy()[best["row"]])[["node", "score", "a", "sketch"]]
-
-    pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    if len(every):
-        best = reps.select("a", "heads", "sketch").mapInPandas(tidy("near", popular), "node long, score long, a long, sketch binary")
-        order = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "a", "sketch"))), 1, PIVOTS)
-        for r in best.groupBy("node").agg(order.alias("p")).collect():
-            pivots[r[0]] = (np.array([p["a"] for p in r[1]]), np.array([np.frombuffer(p["sketch"], np.uint8) for p in r[1]]))
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each document's nodes that are not hot."""
-        for f in frames:
-            if len(f):
-                node, at = branch(matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), hot, levels)
-                stays = np.isin(node, hot[levels]) if levels < len(hot) else np.zeros(node.shape, bool)
-                row, tree = np.nonzero(~stays)
-                yield pd.DataFrame({"node": signed(node[row, tree]), "tree": tree, "level": at[row, tree], "a": f["a"].to_numpy()[row], "n": f["n"].to_numpy()[row], "sketch": f["sketch"].to_numpy()[row]})
-
-    def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each document against the pivots of its hot nodes."""
-        for f in frames:
-            if not len(f):
-                continue
-            heads, sketch, ids = matrix(f["heads"], "<u4"), matrix(f["sketch"], "u1"), f["a"].to_numpy()
-            out = []
-            for k in range(levels):
-                node, at = branch(heads, sketch, hot, k)
-                on = (at == k) & np.isin(node, hot[k])
-                for x in np.unique(signed(node[on])).tolist():
-                    members = np.flatnonzero((on & (signed(node) == x)).any(axis=1))
-                    agree = np.stack([(sketch[members] == own).mean(axis=1) for own in pivots[x][1]])
-                    agree[pivots[x][0][:, None] == ids[members]] = 0
-                    best = agree.argmax(axis=0)
-                    for q, p in enumerate(pivots[x][0].tolist()):
-                        on_q = agree[q] >= MAYBE
-                        near = members[on_q]
-                        out.append(np.stack([ids[near], np.full(len(near), p), best[on_q] == q], axis=1))
-            yield framed(out)
-
-    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Nodes, whose rows follow each other."""
-        held: pd.DataFrame | None = None
-        for f in frames:
-            held = f if held is None else pd.concat([held, f], ignore_index=True)
-            if len(held) < 20_000:
-                continue
-            tail = held["node"] == held["node"].iloc[-1]
-            if tail.all():
-                continue
-            yield pairs_of(held[~tail])
-            held = held[tail].reset_index(drop=True)
-        if held is not None and len(held):
-            yield pairs_of(held)
+        return out.unionByName(self.reps.select("a", "heads", "sketch").mapInPandas(tidy("near", stars), FOUND_DDL))
 
-    def pairs_of(f: pd.DataFrame) -> pd.DataFrame:
+    def _found(self, f: pd.DataFrame, uid: int) -> pd.DataFrame:
         node = f["node"].to_numpy()
         cuts = np.flatnonzero(np.diff(node)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]])
         several = ends - starts > 1
-        ids, sizes, tree, level = (f[c].to_numpy() for c in ("a", "n", "tree", "level"))
+        ids, sizes, tree, level, raw = (f[c].to_numpy() for c in ("a", "n", "tree", "level", "sketch"))
         chosen = np.repeat(several, ends - starts)
         sketch = np.zeros((len(f), TOKENS), np.uint8)
         if chosen.any():
             sketch[chosen] = matrix(f["sketch"][chosen], "u1")
-        out = []
+        pairs: list[np.ndarray] = []
+        again: list[tuple[int, int, bool]] = []
         for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             if e - s == 2:
-                if 100 * min(sizes[s], sizes[s + 1]) >= percent * max(sizes[s], sizes[s + 1]) and (sketch[s] == sketch[s + 1]).mean() >= MAYBE:
-                    out.append(np.array([[*ids[s : s + 2], 1]]))
-            else:
-                out += join_node(ids[s:e], sizes[s:e], sketch[s:e], percent, int(tree[s]), int(level[s]) + 1)
-        return framed(out)
-
-    small_batches(spark, 4000)
-    cold = reps.select("a", "n", "heads", "sketch").mapInPandas(tidy("near", rows), "node long, tree int, level int, a long, n long, sketch binary")
-    shuffled = cold.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
-    out = shuffled.mapInPandas(tidy("near", inside), "a long, b long, first boolean")
-    if pivots:
-        out = out.unionByName(reps.select("a", "heads", "sketch").mapInPandas(tidy("near", stars), "a long, b long, first boolean"))
-    return out.filter("a <> b").groupBy("a", "b").agg(F.max("first").alias("first"))
+                if 100 * min(sizes[s], sizes[s + 1]) >= self.percent * max(sizes[s], sizes[s + 1]) and (sketch[s] == sketch[s + 1]).mean() >= least_agreement(self.percent):
+                    pairs.append(ids[None, s : s + 2])
+                continue
+            for own, (forest, groups) in join_node(sizes[s:e], sketch[s:e], self.percent, int(tree[s]), int(level[s]) + 1, self.small):
+                at = own + s
+                pairs.append(ids[at[forest]])
+                for members, hub in groups:
+                    again += [(int(x), uid, bool(k == hub)) for k, x in zip(members.tolist(), at[members].tolist(), strict=True)]
+                    uid += 1
+        one = framed(pairs).assign(uid=None, hub=False, n=0, sketch=None)
+        where = [x for x, _, _ in again]
+        two = pd.DataFrame({"a": ids[where], "b": None, "uid": [u for _, u, _ in again], "hub": [h for _, _, h in again], "n": sizes[where], "sketch": raw[where]}) if again else one[:0]
+        return pd.concat([one.astype({"b": "Int64", "uid": "Int64"}), two.astype({"b": "Int64", "uid": "Int64"})], ignore_index=True)
+
+    def later(self, again: DataFrame, found: DataFrame) -> DataFrame:
+        """Of PAIRS_DDL: all likely pairs (a, b) that the components found(v, c) leave apart, and these components."""
+        percent = self.percent
+        named = found.toDF("a", "c")
+
+        def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Groups, whose rows follow each other; a group has SMALL members, or a hub."""
+            rest: pd.DataFrame | None = None
+            for f in frames:
+                held = f if rest is None else pd.concat([rest, f], ignore_index=True)
+                last = held["uid"] == held["uid"].iloc[-1]
+                hub = held["hub"] & last
+                yield across(held[~last])
+                rest = held[last]
+                if len(rest) > self.most_held and hub.any():  # a hub stays, its members may go
+                    yield across(rest)
+                    rest = held[hub]
+            if rest is not None:
+                yield across(rest)
+
+        def across(f: pd.DataFrame) -> pd.DataFrame:
+            out = [np.zeros((0, 4), np.int64)]
+            for _, g in f.groupby("uid"):
+                ids, c = g["a"].to_numpy(), g["c"].to_numpy()
+                if (c == c[0]).all():
+                    continue
+                hub = np.flatnonzero(g["hub"].to_numpy())
+                if len(hub):
+                    pairs = np.stack([np.arange(len(ids)), np.full(len(ids), hub[0])], axis=1)
+                else:
+                    pairs = likely(g["n"].to_numpy(), matrix(g["sketch"], "u1"), percent)
+                pairs = pairs[c[pairs[:, 0]] != c[pairs[:, 1]]]
+                out.append(np.stack([ids[pairs[:, 0]], ids[pairs[:, 1]], c[pairs[:, 0]], c[pairs[:, 1]]], axis=1))
+            return ordered(out)
+
+        def ordered(parts: list[np.ndarray]) -> pd.DataFrame:
+            rows = np.concatenate(parts)
+            rows = np.where((rows[:, 0] > rows[:, 1])[:, None], rows[:, [1, 0, 3, 2]], rows)
+            return pd.DataFrame(np.unique(rows, axis=0) if len(rows) else rows, columns=["a", "b", "x", "y"])
+
+        with_c = lambda df: df.join(named, "a", "left").withColumn("c", F.coalesce("c", "a"))
+        small_batches(self.reps.sparkSession, 4000)
+        dealt = with_c(again.select("a", "uid", "hub", "n", "sketch")).repartition(int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid", F.desc("hub"))
+        out = dealt.mapInPandas(tidy("near", inside), PAIRS_DDL)
+        if self.pivots:
+            wanted = self.reps.sparkSession.createDataFrame([(int(p),) for p in sorted({x for own, _ in self.pivots.values() for x in own.tolist()})], "a long")
+            of = {r.a: r.c for r in with_c(wanted).collect()}
+
+            def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    if len(f):
+                        ids, c, parts = f["a"].to_numpy(), f["c"].to_numpy(), [np.zeros((0, 4), np.int64)]
+                        for members, pivots, agree in self.near_pivots(f):
+                            names = np.array([of[p] for p in pivots.tolist()])
+                            q, m = np.nonzero((agree > 0) & (names[:, None] != c[members]))
+                            parts.append(np.stack([ids[members[m]], pivots[q], c[members[m]], names[q]], axis=1))
+                        yield ordered(parts)
+
+            out = out.unionByName(with_c(self.reps.select("a", "heads", "sketch")).mapInPandas(tidy("near", stars), PAIRS_DDL))
+        return out.filter("a <> b").distinct()
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -355,16 +495,15 @@ def confirmed(own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(half.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a"), check, "a long, b long", "near")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """v, c: the components of all candidates that are similar. Of those that come later, what the first have connected
-    already needs no look; the others' links are links between components."""
-    own = sets_of(docs, pairs, size)
-    links = checkpointed(confirmed(own, pairs.filter("first").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), percent))
+def linked(docs: DataFrame, nodes: Nodes, size: int, percent: int) -> DataFrame:
+    """v, c: the components of all candidates that are similar. Forests of nodes are confirmed first; then every likely pair
+    that lies between two of the components found so far, whose links are links between components."""
+    firsts = written(nodes.first(), "near-found")
+    pairs = checkpointed(firsts.filter("uid IS NULL AND a <> b").select("a", "b").distinct())
+    links = checkpointed(confirmed(sets_of(docs, pairs, size), pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), percent))
     found = components(links)
-    left, right = found.toDF("a", "ca"), found.toDF("b", "cb")
-    later = pairs.filter("NOT first").join(left, "a", "left").join(right, "b", "left")
-    later = later.select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).filter("x <> y")
-    more = components(checkpointed(confirmed(own, checkpointed(later), percent)))
+    later = checkpointed(nodes.later(firsts.filter("uid IS NOT NULL"), found).join(pairs, ["a", "b"], "left_anti"))
+    more = components(checkpointed(confirmed(sets_of(docs, later, size), later, percent)))
     merged = found.join(more.toDF("c", "m"), "c", "left").select("v", F.coalesce("m", "c").alias("c"))
     return checkpointed(merged.unionByName(more.join(found.select("v"), "v", "left_anti")))
 
@@ -420,8 +559,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     reps = written(first, "near-sets-of-copies")
     total = reps.count()
     plain = sketched.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    pairs = checkpointed(candidates(reps.filter("a IS NOT NULL"), total, percent))
-    of = linked(docs, pairs, size, percent)
+    of = linked(docs, Nodes(reps.filter("a IS NOT NULL"), total, percent), size, percent)
     named = reps.select("name", "a").join(of, F.col("a") == F.col("v"), "left").select("name", F.coalesce("c", "a").alias("component_id"))
     named = written(named, "near-names")
     found = filled.select("doc_id", F.col("n").alias("n_shingles"), "name").join(named, "name").select("doc_id", "n_shingles", "component_id")

@@ -138,10 +138,70 @@ def test_near_dup_compares_small_nodes_in_full(spark):
     heads[:, 0] = 7
     rows = [(k, 100, heads[k].tobytes(), sketch[k].tobytes()) for k in range(n)]
     reps = spark.createDataFrame(rows, "a long, n long, heads binary, sketch binary")
-    got = {(r.a, r.b) for r in near_dup.candidates(reps, n, 80).collect()}
+    got = {(r.a, r.b) for r in near_dup.Nodes(reps, n, 80).first().filter("uid IS NULL").collect()}
     assert {(k, k + 1) for k in range(0, n, 2)} <= got
 
 
+def test_near_dup_splits_hot_nodes(spark, monkeypatch):
+    """Near copies are 30 % of all sets: no task gathers a node of more than the limit, and all links are found."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(450):
+        own = list(base)
+        for j in rng.sample(range(150), 3):
+            own[j] = f"x{k}y{j}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(f"r{rng.randrange(9000)}" for _ in range(40))) for k in range(1050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_dup, "SMALL", 32)
+    monkeypatch.setattr(near_dup, "LEAST_HOT", 64)
+    docs = near_dup.sketches(df, 2)
+    reps = docs.select(docs.doc_id.alias("a"), "n", "heads", "sketch").filter("n > 0").cache()
+    nodes = near_dup.Nodes(reps, 1500, 80)
+    assert nodes.least == 64 and near_dup.LEVELS < len(nodes.hot) < near_dup.DEPTH
+    heads, sketch = ((near_dup.matrix(x, k)) for x, k in zip(zip(*[(r.heads, r.sketch) for r in reps.collect()], strict=True), ("<u4", "u1"), strict=True))
+    node, _ = near_dup.branch(heads, sketch, nodes.hot, len(nodes.hot))
+    assert max(Counter(node.reshape(-1).tolist()).values()) <= 64
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 2).collect()}
+    assert {k: c for k, c in got.items() if k < 1000} == dict.fromkeys(range(450), 0)
+    assert all(got[k] == k for k in got if k >= 1000)
+
+
+@pytest.mark.parametrize("held", [60_000, 100])
+def test_near_dup_of_nodes_that_never_split(spark, monkeypatch, held):
+    """Sets that differ so little that sketches agree throughout, in one piece and in many."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(f"x{k}" if j == at else w for j, w in enumerate(base))) for k, at in enumerate(rng.sample(range(3000), 300))]
+    rows += [(900 + k, " ".join(f"r{rng.randrange(9000)}" for _ in range(30))) for k in range(100)]
+    monkeypatch.setattr(near_dup, "SMALL", 16)
+    monkeypatch.setattr(near_dup, "LEAST_HOT", 32)
+    monkeypatch.setattr(near_dup, "MOST_HELD", held)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {k: 0 if k < 900 else k for k, _ in rows}
+
+
+def test_near_dup_tries_other_pairs_where_a_forest_fails(spark):
+    """Two candidates agree most and aren't similar; the third pair of their node is what links them."""
+    import numpy as np
+
+    texts = {0: [f"a{k}" for k in range(100)], 1: [f"a{k}" for k in range(100)] + [f"b{k}" for k in range(22)], 2: [f"a{k}" for k in range(100)] + [f"c{k}" for k in range(22)]}
+    rng = np.random.default_rng(5)
+    sketch = np.tile(rng.integers(0, 256, near_dup.TOKENS).astype(np.uint8), (3, 1))
+    sketch[0, :30] ^= 1  # 0 agrees least with both, though it alone is similar to both
+    heads = np.tile(rng.integers(0, 1 << 32, near_dup.TREES).astype("<u4"), (3, 1))
+    reps = spark.createDataFrame([(k, len(texts[k]), heads[k].tobytes(), sketch[k].tobytes()) for k in range(3)], "a long, n long, heads binary, sketch binary")
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    nodes = near_dup.Nodes(reps, 3, 80)
+    assert {(r.a, r.b) for r in nodes.first().filter("uid IS NULL").collect()} in ({(1, 2), (0, 1)}, {(1, 2), (0, 2)})
+    assert {r.v: r.c for r in near_dup.linked(docs, nodes, 2, 80).collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_near_dup_trees_reach_the_recall():
     pairs = 1 - (1 - (near_dup.PERCENT / 100) ** (1 + near_dup.LEVELS)) ** near_dup.TREES
     assert pairs >= near_dup.RECALL >= 0.99 and near_dup.trees_for(0.9, 0.5, 1) == 4

@@ -181,6 +181,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# ---- words ------------------------------------------------------------------------------------------------------
+
+#: Bytes of text whose words are hashed together.
+WORD_SLICE = 400_000
+_rng = np.random.Generator(np.random.PCG64(40961))
+_LETTERS = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """_BASE ** i and _BASE ** -i, i < n, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    if n <= WORD_SLICE < len(_powers[0]):  # a longer word has been here
+        _powers[:] = [p[:WORD_SLICE].copy() for p in _powers]
+    return _powers
+
+
+def hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-cased bytes start, and their 64-bit hashes: sums of letters times powers by place, from
+    sums over the whole, so that no word is looked at by itself."""
+    data = np.frombuffer(raw, np.uint8)
+    power, inverse = powers(len(data) + 1)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * power[: len(data)], out=upto[1:])
+    return starts, mix((upto[ends] - upto[starts]) * inverse[starts])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of all texts, and how many words each text has."""
+    ids: list[np.ndarray] = []
+    sizes = np.zeros(len(texts), np.int64)
+    k = 0
+    while k < len(texts):
+        last, held = k, 0
+        while last < len(texts) and (last == k or held + len(texts[last]) < WORD_SLICE):
+            held += len(texts[last]) + 1
+            last += 1
+        if last == k + 1 and held > WORD_SLICE:  # a long text goes in slices that end with white space
+            raw, at = texts[k].lower(), 0
+            while at < len(raw):
+                end = at + WORD_SLICE
+                while end < len(raw) and not _BLANK[raw[end]]:
+                    end += 1
+                found = hashed(raw[at:end])[1]
+                ids.append(found)
+                sizes[k] += len(found)
+                at = end
+        else:
+            starts, found = hashed(b"\n".join(texts[k:last]).lower())
+            bounds = np.cumsum([len(t) + 1 for t in texts[k:last]])
+            sizes[k:last] = np.diff(np.searchsorted(starts, bounds), prepend=0)
+            ids.append(found)
+        k = last
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint64), sizes
+
+
 def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where sorted keys are cut into `shards` equal ranges of the key space; shards + 1 positions."""
     step = (1 << 64) // shards

@@ -30,11 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keeps, mix, pack, pack_sorted, small_batches, table, text_bytes, tidy, unpack, unpack_sorted, written
+from .common import blocks, mix, pack, pack_sorted, small_batches, table, text_bytes, tidy, unpack, unpack_sorted, word_hashes, written
 
 MU = 100.0
 CONTEXT, NEXT = 26, 38
@@ -42,25 +41,13 @@ CONTEXT, NEXT = 26, 38
 BLOCK, PER_SHARD = 12_000_000, 8_000_000
 #: Texts (their first SAMPLE_CHARS characters) that the shards' bounds are drawn from; they decide nothing else.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
-MOST_KEPT = 300_000
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_words: dict[bytes, int] = {}
-keeps("lm", _words.clear)
-
 
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (each text's words and an end), and how many each text has."""
-    words = [t.lower().split() for t in texts]
-    missing = {w for ws in words for w in ws if w not in _words}
-    if len(_words) + len(missing) > MOST_KEPT:
-        _words.clear()
-        missing = {w for ws in words for w in ws}
-    _words.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
-    parts = [np.array([*map(_words.__getitem__, ws), int(END)], np.uint64) for ws in words]
-    if len(_words) > MOST_KEPT:
-        _words.clear()
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
+    ids, sizes = word_hashes(texts)
+    return np.insert(ids, np.cumsum(sizes), END), sizes + 1
 
 
 def pair_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:

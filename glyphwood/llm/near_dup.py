@@ -27,11 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keeps, map_arrow, small_batches, table, tidy, written
+from .common import checkpointed, map_arrow, small_batches, table, tidy, word_hashes, written
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
@@ -57,36 +56,27 @@ MAYBE = 0.66
 MOST_HELD, CARRIED = 60_000, 64
 #: Edges of a contracted graph that one task may join.
 MOST_AT_ONCE = 10_000
-MOST_KEPT = 150_000
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _FACTORS = _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: The order that each tree branches by at each level; the first TREES orders are the trees' first.
 _CHOSEN = np.array([[t, *(_rng.permutation(np.arange(TREES, TOKENS))[: 63])] for t in range(TREES)])
-_words: dict[bytes, int] = {}
-keeps("near", _words.clear)
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct shingles of a text as sorted 64-bit identifiers."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    try:
-        ids = np.array(list(map(_words.__getitem__, words)), np.uint64)
-    except KeyError:
-        missing = {w for w in words if w not in _words}
-        if len(_words) + len(missing) > MOST_KEPT:
-            _words.clear()
-            missing = set(words)
-        _words.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
-        ids = np.array(list(map(_words.__getitem__, words)), np.uint64)
-    n = len(ids)
-    if not n:
-        return ids
-    parts = min(size, n)
-    out = _joined(np.full(n - parts + 1, parts, np.uint64), ids[: n - parts + 1])
-    for k in range(1, parts):
-        out = _joined(out, ids[k : n - parts + 1 + k])
-    return np.unique(out)
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Distinct shingles of each text as sorted 64-bit identifiers."""
+    ids, counts = word_hashes([(t or "").encode() for t in texts])
+    out, at = [], 0
+    for n in counts.tolist():
+        own, at = ids[at : at + n], at + n
+        parts = min(size, n)
+        if n:
+            joined = _joined(np.full(n - parts + 1, parts, np.uint64), own[: n - parts + 1])
+            for k in range(1, parts):
+                joined = _joined(joined, own[k : n - parts + 1 + k])
+            own = np.unique(joined)
+        out.append(own)
+    return out
 
 
 def minwise(own: np.ndarray) -> np.ndarray:
@@ -103,8 +93,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def make(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n", "name", "heads", "sketch")}
-        for i, text in zip(cols["doc_id"], cols["text"], strict=True):
-            own = shingles(text, size)
+        for i, own in zip(cols["doc_id"], shingle_sets(cols["text"], size), strict=True):
             row = (i, 0, None, None, None)
             if len(own):
                 tokens = minwise(own)
@@ -473,7 +462,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
 
     def sets(cols: dict[str, list]) -> dict[str, list]:
-        return {"id": cols["doc_id"], "own": [np.ascontiguousarray(shingles(t, size)).tobytes() for t in cols["text"]]}
+        return {"id": cols["doc_id"], "own": [own.tobytes() for own in shingle_sets(cols["text"], size)]}
 
     return written(map_arrow(texts, sets, "id long, own binary", "near"), "near-sets")
 

@@ -299,6 +299,9 @@ class Nodes:
         order = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "a", "sketch"))), 1, PIVOTS)
         return {r[0]: (np.array([p["a"] for p in r[1]]), np.array([np.frombuffer(p["sketch"], np.uint8) for p in r[1]])) for r in best.groupBy("node").agg(order.alias("p")).collect()}
 
+    def pivot_ids(self) -> DataFrame:
+        return self.reps.sparkSession.createDataFrame([(int(p),) for p in sorted({x for own, _ in self.pivots.values() for x in own.tolist()})], "a long")
+
     def near_pivots(self, f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each hot node of a frame's documents: places, its pivots' ids, and the agreement of each pivot with each (0
         where it is too little, or a pivot itself)."""
@@ -439,8 +442,7 @@ class Nodes:
         dealt = with_c(again.select("a", "uid", "hub", "n", "sketch")).repartition(int(self.reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid", F.desc("hub"))
         out = dealt.mapInPandas(tidy("near", inside), PAIRS_DDL)
         if self.pivots:
-            wanted = self.reps.sparkSession.createDataFrame([(int(p),) for p in sorted({x for own, _ in self.pivots.values() for x in own.tolist()})], "a long")
-            of = {r.a: r.c for r in with_c(wanted).collect()}
+            of = {r.a: r.c for r in with_c(self.pivot_ids()).collect()}
 
             def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for f in frames:
@@ -456,10 +458,9 @@ class Nodes:
         return out.filter("a <> b").distinct()
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """id, own: the full set of each document in a pair; no other text becomes a set again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, own: the full set of each document of ids(doc_id); no other text becomes a set again."""
+    texts = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
 
     def sets(cols: dict[str, list]) -> dict[str, list]:
         return {"id": cols["doc_id"], "own": [own.tobytes() for own in shingle_sets(cols["text"], size)]}
@@ -489,10 +490,15 @@ def linked(docs: DataFrame, nodes: Nodes, size: int, percent: int) -> DataFrame:
     that lies between two of the components found so far, whose links are links between components."""
     firsts = written(nodes.first(), "near-found")
     pairs = checkpointed(firsts.filter("uid IS NULL AND a <> b").select("a", "b").distinct())
-    links = checkpointed(confirmed(sets_of(docs, pairs, size), pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), percent))
+    # every member of a later pair is known by now, so texts are fetched once
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(firsts.filter("uid IS NOT NULL").select(F.col("a").alias("doc_id")))
+    if nodes.pivots:
+        members = members.unionByName(nodes.pivot_ids().toDF("doc_id"))
+    own = sets_of(docs, members, size)
+    links = checkpointed(confirmed(own, pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), percent))
     found = components(links)
     later = checkpointed(nodes.later(firsts.filter("uid IS NOT NULL"), found).join(pairs, ["a", "b"], "left_anti"))
-    more = components(checkpointed(confirmed(sets_of(docs, later, size), later, percent)))
+    more = components(checkpointed(confirmed(own, later, percent)))
     merged = found.join(more.toDF("c", "m"), "c", "left").select("v", F.coalesce("m", "c").alias("c"))
     return checkpointed(merged.unionByName(more.join(found.select("v"), "v", "left_anti")))
 

@@ -12,7 +12,8 @@ Buckets are refined in three rounds, each of which settles most places and hands
    form a run, whose identifier is made from its first and last window. A q-gram that one anchor only has settles its run:
    nothing repeats. One that several runs have, all alike, settles them too: every window repeats.
 2. Only windows under anchors whose runs differ are refined: by sorting on the pair of bucket identifiers (at the
-   place, at the later offset). Windows whose bucket holds two places repeat.
+   place, at the later offset), and on a second identifier of the same bytes that is made in another way, so that a
+   bucket holds one string (120 bits agree). Windows whose bucket holds two places repeat.
 3. The texts with such windows get the answers back and their bytes are cut.
 
 Documents are handled in blocks. A block sends each bucket identifier once, however often it has it, cut into ranges of
@@ -45,6 +46,8 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UP = np.uint64(29)
+_LETTERS = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -126,20 +129,39 @@ class Runs:
         self.anchor, self.name = mix(join(anchor, np.uint64) ^ _ODD), join(name, np.uint64)
 
 
-def window_ids(data: np.ndarray, asked: np.ndarray, length: int) -> np.ndarray:
-    """Bucket identifiers, at the full depth, of the places where asked is 1."""
-    out = []
+def window_ids(data: np.ndarray, asked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket identifiers, at the full depth, of the places where asked is 1, and 56 bits of another identifier of the same
+    bytes, made in another way: a sum of letters times powers by place. Windows are the same if both are."""
+    out, proof = [], []
+    inverse = pow(_BASE, -1, 1 << 64)
     for start in range(0, len(data), SLICE):
         at = np.flatnonzero(asked[start : start + SLICE])
         if len(at):
-            out.append(buckets(data[start : start + SLICE + length - 1], [length])[0][at])
-    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            part = data[start : start + SLICE + length - 1]
+            out.append(buckets(part, [length])[0][at])
+            powers, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(part), b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[part] * powers[:-1], dtype=np.uint64)])
+            proof.append(mix((upto[at + length] - upto[at]) * back[at]) >> np.uint64(8))
+    none = np.zeros(0, np.uint64)
+    return (mix(np.concatenate(out)), np.concatenate(proof)) if out else (none, none)
+
+
+def distinct_windows(keys: np.ndarray, proofs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows apart, sorted by identifier then proof; the flag (1: several places); and each window's index."""
+    order = np.lexsort([proofs, keys])
+    k, p = keys[order], proofs[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    index = np.empty(len(k), np.int64)
+    index[order] = np.cumsum(new) - 1
+    counts = np.diff(np.append(np.flatnonzero(new), len(k)))
+    return k[new], p[new] << np.uint64(8) | (counts > 1).astype(np.uint64), index
 
 
 def distinct_anchors(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted anchors, 40 bits of a run identifier of each, flags (1: several runs, 2: runs that differ), and each run's index."""
+    """Sorted anchors, 56 bits of a run identifier of each, flags (1: several runs, 2: runs that differ), and each run's index."""
     keys, back, counts = np.unique(runs.anchor, return_inverse=True, return_counts=True)
-    name = (runs.name >> np.uint64(24)).astype(np.uint64)
+    name = (runs.name >> np.uint64(8)).astype(np.uint64)
     least, most = np.full(len(keys), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(keys), np.uint64)
     np.minimum.at(least, back, name)
     np.maximum.at(most, back, name)
@@ -205,11 +227,16 @@ def judge_anchors(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
 
 
 def judge_windows(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """1 if the bucket holds two places or more."""
-    _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    flag = np.zeros(len(counts), np.uint8)
-    np.bitwise_or.at(flag, back, extra)
-    return ((counts > 1) | (flag > 0)).astype(np.uint8)[back]
+    """1 if the same window is at two places or more."""
+    order = np.lexsort([extra >> np.uint64(8), keys])
+    k, p, flag = keys[order], extra[order] >> np.uint64(8), (extra[order] & np.uint64(255)).astype(np.uint8)
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(new)
+    several = (np.diff(np.append(first, len(k))) > 1) | (np.maximum.reduceat(flag, first) > 0 if len(first) else False)
+    out = np.empty(len(k), np.uint8)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(k))))
+    return out
 
 
 def gathered(group: pd.DataFrame) -> np.ndarray:
@@ -273,8 +300,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digests: bool = False)
                 if chosen:
                     bits = [np.packbits(x[byte_waits == flag]) for x in (sure, asked)]
                     out.append((block, kind, -1, pack_docs([ids[k] for k in chosen], [raw[ends[k] - sizes[k] : ends[k]] for k in chosen]), pack(np.concatenate(bits))))
-            keys, counts = np.unique(window_ids(data, asked, length), return_counts=True)
-            out += key_rows(block, keys, (counts > 1).astype(np.uint8), shards)
+            keys, extra, _ = distinct_windows(*window_ids(data, asked, length))
+            out += key_rows(block, keys, extra, shards)
         return pd.DataFrame(out, columns=["block", "kind", "shard", "payload", "extra"])
 
     two = written(one.filter("kind = 'docs'").groupBy("block").cogroup(settled.groupBy("block")).applyInPandas(tidy("suffix", refine), BLOCK_DDL), "suffix-two")
@@ -295,7 +322,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digests: bool = False)
         rows: list[tuple] = []
         for payload, extra in zip(group["payload"], group["extra"], strict=True):
             ids, sizes, raw, sure, asked = opened(payload, extra)
-            _, back = np.unique(window_ids(np.frombuffer(raw, np.uint8), asked, length), return_inverse=True)
+            _, _, back = distinct_windows(*window_ids(np.frombuffer(raw, np.uint8), asked, length))
             at = np.flatnonzero(asked)[gathered(told)[back] > 0]
             rows += cut_out(ids, sizes, raw, sure | covering(len(raw), at, at, length))
         return finish(iter(rows))

@@ -159,13 +159,23 @@ ROWS_DDL = "block string, kind string, shard int, payload binary, extra binary"
 
 
 def bounds_of(docs: DataFrame, shards: int) -> np.ndarray:
-    """Keys that cut the pairs of a bounded sample into shards of equal size."""
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS).collect()
-    texts = [(r[0] or "").encode() for r in sample]
-    keys = np.unique(pair_keys(*word_ids(texts)))
-    if len(keys) < shards:
-        return (np.arange(1, shards, dtype=object) * (1 << CONTEXT + NEXT) // shards).astype(np.uint64)
-    return keys[np.arange(1, shards) * len(keys) // shards]
+    """Keys that cut the pairs of a bounded sample of distinct texts into shards of equal size. The sample is drawn by hashes,
+    and cut within one task: the driver gets its hashes and the bounds, no text."""
+    name = F.xxhash64("text")
+    least = docs.select(name.alias("h")).distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    even = (np.arange(1, shards, dtype=object) * (1 << CONTEXT + NEXT) // shards).astype(np.uint64)
+    if least is None:
+        return even
+    chosen = docs.filter(name <= F.lit(least)).groupBy(name.alias("h")).agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.unique(pair_keys(*word_ids([(t or "").encode() for t in b.column(0).to_pylist()]))) for b in batches]
+        keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        if len(keys) >= shards:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[np.arange(1, shards) * len(keys) // shards].astype(np.int64))], names=["key"])
+
+    rows = chosen.select("text").coalesce(1).mapInArrow(tidy("lm", cut), "key long").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64)) if rows else even
 
 
 def asked(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import inspect
 import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -96,10 +97,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where a local session names none, a temporary one of this machine; on a
+    cluster executors wouldn't see each other's files there, so it is refused."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors share no folder")
         at = "file://" + tempfile.mkdtemp(prefix="glyphwood-")
         sc.setCheckpointDir(at)
     elif not sc.getCheckpointDir():
@@ -123,7 +127,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    if (held := getattr(_stage, "held", None)) is not None:
+        held.append(at)
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes what written() has written, once nothing reads it any more."""
+    for at in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at if isinstance(at, str) else at.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_stage = threading.local()
+
+
+def staged(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage of a pipeline: when it starts, the result of the stage before (of this thread) is written, so the tables that
+    that one was made from go."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, *getattr(_stage, "left", []))
+        _stage.held, _stage.left = [], []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _stage.left, _stage.held = _stage.held, None
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, small_batches, table, tidy, word_hashes, written
+from .common import checkpointed, forget, map_arrow, small_batches, table, tidy, word_hashes, written
 from .suffix_dedup import _joined
 
 SHINGLE, PERCENT = 5, 80
@@ -499,6 +499,7 @@ def linked(docs: DataFrame, nodes: Nodes, size: int, percent: int) -> DataFrame:
     found = components(links)
     later = checkpointed(nodes.later(firsts.filter("uid IS NOT NULL"), found).join(pairs, ["a", "b"], "left_anti"))
     more = components(checkpointed(confirmed(own, later, percent)))
+    forget(docs.sparkSession, own, firsts)
     merged = found.join(more.toDF("c", "m"), "c", "left").select("v", F.coalesce("m", "c").alias("c"))
     return checkpointed(merged.unionByName(more.join(found.select("v"), "v", "left_anti")))
 
@@ -557,6 +558,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     of = linked(docs, Nodes(reps.filter("a IS NOT NULL"), total, percent), size, percent)
     named = reps.select("name", "a").join(of, F.col("a") == F.col("v"), "left").select("name", F.coalesce("c", "a").alias("component_id"))
     named = written(named, "near-names")
+    forget(docs.sparkSession, reps)
     found = filled.select("doc_id", F.col("n").alias("n_shingles"), "name").join(named, "name").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(plain).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

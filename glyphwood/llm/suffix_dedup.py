@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, tidy, unpack, unpack_docs, unpack_sorted, written
+from .common import blocks, forget, mix, pack, pack_docs, pack_sorted, shard_cuts, small_batches, table, text_bytes, tidy, unpack, unpack_docs, unpack_sorted, written
 
 LENGTH = 200
 #: Bytes of text of a block, bytes looked at at once, and bytes of text for each range of identifiers.
-BLOCK, SLICE, PER_SHARD = 4_000_000, 250_000, 8_000_000
+BLOCK, SLICE, PER_SHARD = 6_000_000, 250_000, 8_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -305,6 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, digests: bool = False)
         return pd.DataFrame(out, columns=["block", "kind", "shard", "payload", "extra"])
 
     two = written(one.filter("kind = 'docs'").groupBy("block").cogroup(settled.groupBy("block")).applyInPandas(tidy("suffix", refine), BLOCK_DDL), "suffix-two")
+    forget(docs.sparkSession, one)
 
     def opened(payload: bytes, extra: bytes) -> tuple:
         ids, sizes, raw = unpack_docs(payload)

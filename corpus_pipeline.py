@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of documents. Nulls: documents with a null text go at the first stage (they
 have no perplexity), documents with a null doc_id at the near-duplicate stage (nothing can name them). Different texts under
-one id are documents of their own. An empty table passes through as one.
+one id are documents of their own. An empty table passes through as one. Tables that a stage was made from go when the
+next one starts.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphwood.llm import near_dup, packing, quality_lm, quality_rules, suffix_dedup
-from glyphwood.llm.common import map_arrow, table, written
+from glyphwood.llm.common import map_arrow, staged, table, written
 
 
+@staged
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
     return quality_lm.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
+@staged
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the table of rules."""
     return quality_rules.quality_filter(docs)
@@ -29,6 +32,7 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_name", F.xxhash64("doc_id", "text"))
 
 
+@staged
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document of the least id, once."""
     rows = named(docs.filter("doc_id IS NOT NULL"))
@@ -40,6 +44,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, "_name", "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
 
 
+@staged
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 200 bytes that also start elsewhere. A character that is cut in two goes as a whole.
 
@@ -56,6 +61,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rest.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
 
 
+@staged
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 2048 tokens."""
     return packing.pack(packing.pieces_of(docs))

@@ -6,6 +6,8 @@ Java's has no U+00A0 and no U+FEFF. For the same reason "any character" is a cla
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ LINE_BREAK = r"\r\n|\r|\n"
 
 # Words that carry no content.
 STOPWORDS = (
-    "a an and are as at be been but by can for from has have how in into is it its of on or that the their them then "
-    "there these they this to was were what when which who will with"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "for", "from", "has", "have", "how", "in", "into",
+    "is", "it", "its", "of", "on", "or", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to",
+    "was", "were", "what", "when", "which", "who", "will", "with",
+)
 
 
 def blank_to_empty(c: Column) -> Column:
@@ -64,8 +67,7 @@ def slug_or_line(c: Column, line: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Content words in order: lower case, of at least two characters, without stop words."""
     plain = F.regexp_replace(F.lower(blank_to_empty(c)), rf"[^a-z0-9{SPACE}-]", " ")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(plain, rf"[{SPACE}]+"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.split(plain, rf"[{SPACE}]+"), lambda w: (F.length(w) > 1) & ~w.isin(list(STOPWORDS)))
 
 
 def token_set(c: Column) -> Column:
@@ -115,6 +117,11 @@ def fenced(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def exploded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
     """The columns `keep` and the fields of an array of structs, a row per element; none for an empty array.
 

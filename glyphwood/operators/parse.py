@@ -275,9 +275,19 @@ def links(source: DataFrame) -> DataFrame:
 
 
 def page_at(markers: Column, line: Column) -> Column:
-    """The page of the last marker at or before the line; null before the first."""
-    before = F.filter(markers, lambda m: m["line"] <= line)
-    return F.get(before, F.size(before) - 1)["page"]
+    """The page of the last marker at or before the line; null before the first. Markers are in the order of lines, so
+    many of them are searched by halving."""
+    few = F.size(F.filter(markers, lambda m: m["line"] <= line))
+    first = F.struct(F.lit(0).alias("low"), F.size(markers).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = (acc["low"] < acc["high"]) & (F.get(markers, middle)["line"] <= line)
+        return F.struct(F.when(below, middle + 1).otherwise(acc["low"]).alias("low"), F.when(below | (acc["low"] >= acc["high"]), acc["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(markers) + 1)).cast("int"))
+    many = F.aggregate(steps, first, halve, lambda acc: acc["low"])
+    return F.get(markers, F.when(F.size(markers) <= 16, few).otherwise(many) - 1)["page"]
 
 
 def page_range(markers: Column, start: Column, end: Column) -> Column:

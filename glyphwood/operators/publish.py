@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphwood.config import Config, EngineError
 from glyphwood.operators import routing, validate
-from glyphwood.sources.store import Store
-
-# States of a document on its way into an index; all that start with failed, and the last two, are final.
-STATES = (
-    "scanned queued summarised merged validated published failed_structural_validation failed_semantic_validation failed_publish "
-    "excluded_redirect excluded_placeholder excluded_navigation_only skipped removed rolled_back"
-).split()
-
+from glyphwood.sources.store import Change, Store
 
 def decide(leaves: DataFrame, docs: DataFrame, findings: DataFrame, sources: DataFrame, indexed: DataFrame | None, mode: str) -> DataFrame:
     """leaves with state and reason. mode `ingest` refuses what is indexed already, `modify` replaces it."""
@@ -39,42 +34,33 @@ def decide(leaves: DataFrame, docs: DataFrame, findings: DataFrame, sources: Dat
     return df.withColumns({"state": state, "reason": reason}).select(*leaves.columns, "state", "reason")
 
 
-def next_leaves(current: DataFrame | None, accepted: DataFrame) -> DataFrame:
-    """The routing table after a publication."""
-    if current is None:
-        return accepted
-    return routing.remove(current, accepted).unionByName(accepted, allowMissingColumns=True)
-
-
 def publish(store: Store, staged: dict[str, DataFrame], decided: DataFrame, config: Config, mode: str = "ingest", dry_run: bool = False) -> dict:
     """Publishes accepted documents: staged docs and nodes, their leaves, aliases. All or nothing; a dry run only reports.
 
     Replaced documents lose their old rows in every table. The new routing table is checked before it counts.
     """
     accepted = decided.filter("state = 'published'").drop("state", "reason")
-    at = store.current()
-    old = {k: store.table(k) for k in ("docs", "nodes", "leaves", "aliases") if at and store.has(k)}
     files = accepted.select("file")
-
-    def renewed(key: str) -> DataFrame:
-        new = staged[key].join(files, "file", "left_semi")
-        return new if key not in old else old[key].join(files, "file", "left_anti").unionByName(new, allowMissingColumns=True)
-
-    tables = {"docs": renewed("docs"), "nodes": renewed("nodes"), "leaves": next_leaves(old.get("leaves"), accepted)}
+    leaf = F.struct(*[F.col(c) for c in accepted.columns if c not in ("file", "tree_index")])
+    docs = staged["docs"].join(accepted.select("file", leaf.alias("index_metadata")), "file")
+    tables = {"docs": Change(docs, files), "leaves": Change(accepted, files), "postings": Change(routing.postings(accepted), files)}
+    for key in ("nodes", "cross_refs"):
+        if key in staged:
+            tables[key] = Change(staged[key].join(files, "file", "left_semi"), files)
     if "aliases" in staged:
-        new = staged["aliases"].select("from_file", "to_file")
-        tables["aliases"] = routing.upsert_aliases(old["aliases"], new) if "aliases" in old else new
+        new = staged["aliases"].groupBy("from_file").agg(F.max("to_file").alias("to_file"))
+        tables["aliases"] = Change(new, new.select("from_file"))
     counts = {r["state"]: r["count"] for r in decided.groupBy("state").count().collect()}
     report = {"mode": mode, "published": counts.get("published", 0), "rejected": sum(v for k, v in counts.items() if k != "published"), "dry_run": dry_run}
     if dry_run:
         return report
 
-    def verify(s: Store, name: str) -> list[str]:
-        leaves = s.table("leaves", name)
-        found = validate.check_leaves(leaves, s.table("docs", name), config, routing.nodes(leaves, config))
-        return [f"{r['code']}: {r['file']}" for r in found.limit(10).collect()]
+    return report | {"snapshot": store.publish(tables, report, checked(config))}
 
-    return report | {"snapshot": store.publish(tables, report, verify)}
+
+def without(store: Store, files: DataFrame) -> dict[str, Change]:
+    """All of files(file) gone from every table that names them."""
+    return {k: Change(None, files) for k in ("docs", "nodes", "leaves", "cross_refs", "postings") if store.has(k)}
 
 
 def remove(store: Store, files: list[str], dry_run: bool = False) -> dict:
@@ -89,30 +75,61 @@ def remove(store: Store, files: list[str], dry_run: bool = False) -> dict:
     report = {"mode": "remove", "removed": sorted(found), "not_found": lost, "dry_run": dry_run}
     if dry_run:
         return report
-    tables = {k: store.table(k).join(asked, "file", "left_anti") for k in ("docs", "nodes", "leaves")}
-    return report | {"snapshot": store.publish(tables, report)}
+    return report | {"snapshot": store.publish(without(store, asked), report)}
 
 
 def rebuilt(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """The routing table from the trees alone, and the documents whose leaf can't be made whole.
+    """The routing table from the trees alone, and the documents whose leaf can't be made whole: file, tree_index, missing.
 
-    docs: roots of trees, with index_metadata (a leaf as struct) where publication has left it.
+    docs: roots of trees, with index_metadata (their leaf, as publication has left it) where there is one.
     """
-    meta = "index_metadata" in docs.columns
+    own = {f.name: f.dataType for f in docs.schema.fields}
+    meta = {f.name for f in own["index_metadata"].fields} if "index_metadata" in own else set()
 
-    def either(name: str):
-        own = F.col(name) if name in docs.columns else F.lit(None).cast("array<string>" if name == "topics" else "string")
-        return F.coalesce(F.col(f"index_metadata.{name}"), own) if meta else own
+    def either(name: str, kind: str = "string") -> Column:
+        parts = [F.col(f"index_metadata.{name}")] if name in meta else []
+        if name in own:
+            parts.append(F.col(name))
+        return F.coalesce(*parts).cast(kind) if parts else F.lit(None).cast(kind)
 
-    summary = either("summary") if meta else F.lit(None).cast("string")
+    strings, pairs = "array<string>", "map<string,string>"
     leaves = docs.select(
         "file",
         either("doc_type").alias("doc_type"),
         F.coalesce(either("doc_group"), config.doc_group(F.col("doc_type"))).alias("doc_group"),
-        either("topics").alias("topics"),
+        either("topics", strings).alias("topics"),
         either("date_added").alias("date_added"),
-        F.coalesce(summary, "root_summary").alias("summary"),
+        F.coalesce(F.col("index_metadata.summary") if "summary" in meta else F.lit(None).cast("string"), "root_summary").alias("summary"),
         "tree_index",
+        either("ext", pairs).alias("ext"),
+        either("null_fields", strings).alias("null_fields"),
     )
-    incomplete = F.col("summary").isNull() | F.col("doc_type").isNull() | F.col("file").isNull()
-    return leaves.filter(~incomplete), leaves.filter(incomplete).select("file", "tree_index")
+    lacks = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in ("file", "doc_type", "summary")]))
+    told = leaves.withColumn("missing", lacks)
+    return told.filter(F.size("missing") == 0).drop("missing"), told.filter(F.size("missing") > 0).select("file", "tree_index", "missing")
+
+
+def rebuild(store: Store, config: Config, dry_run: bool = False, most: int = 20) -> dict:
+    """Makes the routing table anew from the trees and publishes it, checked. Reports what couldn't be made whole (these
+    documents keep the leaf that they had, if any), fields without a value, and documents under an unknown group."""
+    leaves, lost = rebuilt(store.table("docs"), config)
+    gaps = leaves.select("file", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in ("doc_group", "topics", "date_added")]))).alias("field"))
+    unknown = routing.placed(leaves, config).filter(F.size("unknown_fields") > 0)
+    named = lambda df, *c: [tuple(r) for r in df.select(*c).orderBy(*c).limit(most).collect()]
+    report = {"mode": "rebuild", "rebuilt": leaves.count(), "lost": named(lost, "file", "tree_index"), "unrecovered": named(gaps, "file", "field"), "under_unknown": named(unknown, "file"), "dry_run": dry_run}
+    if dry_run:
+        return report
+    stale = store.table("leaves").select("file").join(lost.select("file"), "file", "left_anti").unionByName(leaves.select("file")).distinct()
+    tables = {"leaves": Change(leaves, stale), "postings": Change(routing.postings(leaves), stale)}
+    return report | {"snapshot": store.publish(tables, report, checked(config))}
+
+
+def checked(config: Config) -> Callable[[Store, str], list[str]]:
+    """What a publication is held against before it counts: the rules on the routing table."""
+
+    def verify(s: Store, name: str) -> list[str]:
+        leaves = s.table("leaves", name)
+        found = validate.check_leaves(leaves, s.table("docs", name), config, routing.nodes(leaves, config))
+        return [f"{r['code']}: {r['file']}" for r in found.limit(10).collect()]
+
+    return verify

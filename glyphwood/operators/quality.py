@@ -29,20 +29,29 @@ def _pattern(form: str) -> str:
 
 def codes(summary: Column, heading: Column, is_root: Column, config: Config) -> Column:
     """The codes of all rules that a summary breaks, in the order of the rules."""
-    body = t.trim(t.blank_to_empty(summary))
-    count = t.word_count(body)
     least = F.when(is_root, config.root_summary_min_words).otherwise(config.node_summary_min_words)
     most = F.when(is_root, config.root_summary_max_words).otherwise(config.node_summary_max_words)
-    plain, title = t.comparable(body), t.comparable(heading)
-    new_words = F.size(F.array_except(t.token_set(body), t.token_set(heading)))
-    broken = [
-        F.when(count < least, "too_short"),
-        F.when(count > most, "too_long"),
-        *[F.when(body.rlike(_pattern(form)), code) for code, form in EMPTY_PHRASES.items()],
-        F.when((title != "") & (plain == title), "repeats_heading"),
-        F.when((title != "") & (plain != title) & (new_words < 3), "adds_nothing_to_heading"),
-    ]
-    return F.when(t.is_blank(summary), F.array(F.lit("summary_missing"))).otherwise(F.array_compact(F.array(*broken)))
+
+    def broken(x: Column) -> Column:
+        body, title = x["body"], x["title"]
+
+        def listed(y: Column) -> Column:
+            titled = title != ""
+            new_words = F.size(F.array_except(t.token_set(body), t.token_set(heading)))
+            return F.array_compact(
+                F.array(
+                    F.when(y["count"] < least, "too_short"),
+                    F.when(y["count"] > most, "too_long"),
+                    *[F.when(body.rlike(_pattern(form)), code) for code, form in EMPTY_PHRASES.items()],
+                    F.when(titled & (y["plain"] == title), "repeats_heading"),
+                    F.when(titled & (y["plain"] != title) & (new_words < 3), "adds_nothing_to_heading"),
+                )
+            )
+
+        return t.bound(F.struct(t.word_count(body).alias("count"), t.comparable(body).alias("plain")), listed)
+
+    parts = F.struct(t.trim(t.blank_to_empty(summary)).alias("body"), t.comparable(heading).alias("title"))
+    return F.when(t.is_blank(summary), F.array(F.lit("summary_missing"))).otherwise(t.bound(parts, broken))
 
 
 def _found(df: DataFrame, scope: Column, node: Column) -> DataFrame:
@@ -51,13 +60,13 @@ def _found(df: DataFrame, scope: Column, node: Column) -> DataFrame:
 
 def check_nodes(nodes: DataFrame, config: Config) -> DataFrame:
     """Findings on each node's summary: file, node_id, scope, code, other, score."""
-    df = nodes.withColumn("_codes", codes(F.col("summary"), F.col("heading"), F.lit(False), config))
+    df = nodes.withColumn("_codes", t.fenced(codes(F.col("summary"), F.col("heading"), F.lit(False), config)))
     return _found(df, F.lit("node"), F.col("node_id"))
 
 
 def check_roots(docs: DataFrame, config: Config) -> DataFrame:
     """Findings on each document's summary; its heading is its file."""
-    df = docs.withColumn("_codes", codes(F.col("root_summary"), F.col("file"), F.lit(True), config))
+    df = docs.withColumn("_codes", t.fenced(codes(F.col("root_summary"), F.col("file"), F.lit(True), config)))
     return _found(df, F.lit("root"), F.lit(None).cast("string"))
 
 

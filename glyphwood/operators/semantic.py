@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from glyphwood.config import EngineError, Config
 from glyphwood.functions import text as t
 from glyphwood.operators import quality, tree, validate
+from glyphwood.sources import scratch
 
 CONTENT_CHARS, EXCERPT_CHARS = 12_000, 2_500
 CUT_MARK = "\n\n[content truncated for length]"
 RESULT_FIELDS = ("task_id", "node_id", "kind", "summary", "topics", "metadata", "file")
-#: Tasks of one block of the packing chain.
-BLOCK = 4096
+#: Tasks of one block of the packing chain, and blocks of one link of it.
+BLOCK, LINK = 4096, 256
 
 
 def sibling_headings(nodes: DataFrame) -> DataFrame:
@@ -78,8 +79,9 @@ def tasks(nodes: DataFrame, docs: DataFrame, sources: DataFrame, config: Config)
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with `pos`, the rows' number from 0 in the order given, without a window over all rows: ranges are numbered
-    apart and moved by the counts of the ranges before them. The ranges are held, since both passes must see the same."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    apart and moved by the counts of the ranges before them. The ranges are written out, since both passes must see the
+    same, whatever is computed again meanwhile."""
+    ranged = scratch.written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     moved = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -118,16 +120,36 @@ def pack(queue: DataFrame, config: Config, size: str = "size") -> DataFrame:
 
         return F.aggregate(lens, begin, step, lambda a: F.struct((a["at"] - a["i"]).alias("exit"), a["n"].alias("n")))
 
-    table = rows.select("_b", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: walk(F.col("lens"), e)).alias("by"))
-    chain = table.agg(F.array_sort(F.collect_list(F.struct("_b", "by"))).alias("all"))
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<b:bigint,entry:int,base:bigint>>").alias("out"))
+    state = "struct<at:int,n:bigint,out:array<struct<b:bigint,entry:int,base:bigint>>>"
+
+    def chained(steps: Column, at: Column, base: Column) -> Column:
+        """Through steps (b, by) in order, from an entry and a number of batches: where each is entered, and the end."""
+        first = F.struct(at.cast("int").alias("at"), base.cast("long").alias("n"), F.array().cast("array<struct<b:bigint,entry:int,base:bigint>>").alias("out")).cast(state)
+
+        def link(acc: Column, x: Column) -> Column:
+            left = F.get(x["by"], acc["at"])
+            entry = F.struct(x["b"].alias("b"), acc["at"].alias("entry"), acc["n"].alias("base"))
+            return F.struct(left["exit"].cast("int").alias("at"), (acc["n"] + left["n"]).cast("long").alias("n"), F.array_append(acc["out"], entry).alias("out"))
+
+        return F.aggregate(steps, first, link)
 
-    def link(acc: Column, x: Column) -> Column:
-        left = F.get(x["by"], acc["at"])
-        entry = F.struct(x["_b"].alias("b"), acc["at"].alias("entry"), acc["n"].alias("base"))
-        return F.struct(left["exit"].alias("at"), (acc["n"] + left["n"]).alias("n"), F.array_append(acc["out"], entry).alias("out"))
+    def end_of(steps: Column, at: Column) -> Column:
+        """Where steps that are entered there are left, and how many batches start in them."""
+        first = F.struct(at.cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
 
-    entries = chain.select(F.explode(F.aggregate("all", first, link, lambda a: a["out"])).alias("x")).select(F.col("x.b").alias("_b"), "x.entry", "x.base")
+        def link(acc: Column, x: Column) -> Column:
+            left = F.get(x["by"], acc["at"])
+            return F.struct(left["exit"].cast("int").alias("at"), (acc["n"] + left["n"]).cast("long").alias("n"))
+
+        return F.aggregate(steps, first, link, lambda a: F.struct(a["at"].alias("exit"), a["n"].alias("n")))
+
+    # blocks are chained within links, links as a whole: both lists are short, whatever the number of tasks
+    table = rows.select("_b", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: walk(F.col("lens"), e)).alias("by"))
+    linked = table.groupBy(F.floor(F.col("_b") / LINK).alias("_l")).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), "by"))).alias("all"))
+    links = linked.select(F.col("_l").alias("b"), F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: end_of(F.col("all"), e)).alias("by"))
+    whole = links.agg(F.array_sort(F.collect_list(F.struct("b", "by"))).alias("all"))
+    entered = whole.select(F.explode(chained(F.col("all"), F.lit(0), F.lit(0))["out"]).alias("x")).select(F.col("x.b").alias("_l"), "x.entry", "x.base")
+    entries = linked.join(entered, "_l").select(F.explode(chained(F.col("all"), F.col("entry"), F.col("base"))["out"]).alias("x")).select(F.col("x.b").alias("_b"), "x.entry", "x.base")
     marks = F.struct(F.col("entry").alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def mark(acc: Column, x: Column) -> Column:

@@ -86,12 +86,15 @@ def check_ids(nodes: DataFrame) -> DataFrame:
 
 
 def owned_lines(nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """Every line of a body with its number of owners among the leaves: file, n, substantive, is_heading, owners.
+    """Every line of a body with its owners among the leaves: file, n, substantive, is_heading, owners (how many), and two of
+    their ids. Ranges are cut at the document's lines, whatever they claim (content_ref_out_of_bounds tells of the rest).
 
     Numbers only: no text is shuffled.
     """
-    claims = nodes.filter("is_leaf AND line_start <= line_end").select("file", F.explode(F.sequence("line_start", "line_end")).alias("n"))
-    owners = claims.groupBy("file", "n").agg(F.count("*").alias("owners"))
+    leaves = nodes.filter("is_leaf AND line_start <= line_end").join(source.select("file", "total_lines"), "file")
+    start, end = F.greatest("line_start", F.lit(1)), F.least("line_end", "total_lines")
+    claims = leaves.withColumns({"_s": start, "_e": end}).filter("_s <= _e").select("file", "node_id", F.explode(F.sequence("_s", "_e")).alias("n"))
+    owners = claims.groupBy("file", "n").agg(F.count("*").alias("owners"), F.min("node_id").alias("owner"), F.max("node_id").alias("other"))
     lean = F.transform("lines", lambda x: F.struct(x["n"].alias("n"), x["substantive"].alias("substantive"), (x["level"] > 0).alias("is_heading")))
     body = t.exploded(source, lean, "file")
     return body.join(owners, ["file", "n"], "full").withColumns({"owners": F.coalesce("owners", F.lit(0)), "substantive": F.coalesce("substantive", F.lit(False))})
@@ -116,7 +119,7 @@ def check_coverage(nodes: DataFrame, source: DataFrame) -> DataFrame:
     """A finding per overlapping line and one per document with uncovered lines (its first fifty named)."""
     df = owned_lines(nodes, source)
     none = F.lit(None).cast("string")
-    twice = df.filter("owners > 1").select("file", none.alias("node_id"), F.lit("overlapping_leaf_ranges").alias("code"), F.col("n").cast("string").alias("detail"))
+    twice = df.filter("owners > 1").select("file", none.alias("node_id"), F.lit("overlapping_leaf_ranges").alias("code"), F.concat(F.col("n").cast("string"), F.lit(": "), "owner", F.lit(", "), "other").alias("detail"))
     bare = df.filter("substantive AND owners = 0 AND NOT is_heading")
     rank = F.row_number().over(Window.partitionBy("file").orderBy("n"))
     named = bare.withColumn("_r", rank).groupBy("file").agg(F.array_sort(F.collect_list(F.when(F.col("_r") <= 50, F.col("n")))).alias("_n"))
@@ -132,7 +135,10 @@ def check_sources(docs: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def check_cross_refs(refs: DataFrame) -> DataFrame:
-    """refs(file, node_id, idx, type, raw, target, resolved_node, resolved_file)."""
+    """refs(file, node_id, idx, type, raw, target, resolved_node, resolved_file). A column that isn't there is missing in all."""
+    absent = [c for c in ("resolved_node", "resolved_file") if c not in refs.columns]
+    for c in absent:
+        refs = refs.withColumn(c, F.lit(None).cast("string"))
     return _rules(
         refs,
         F.col("node_id"),
@@ -140,15 +146,21 @@ def check_cross_refs(refs: DataFrame) -> DataFrame:
             "cross_ref_type": ~F.coalesce(F.col("type").isin("intra", "inter"), F.lit(False)),
             "cross_ref_raw": t.is_blank(F.col("raw")),
             "cross_ref_target": t.is_blank(F.col("target")),
+            "cross_ref_resolved_node_missing": F.lit("resolved_node" in absent),
+            "cross_ref_resolved_file_missing": F.lit("resolved_file" in absent),
+            "cross_ref_resolved_node_type": F.col("resolved_node").isNotNull() & t.is_blank(F.col("resolved_node")),
+            "cross_ref_resolved_file_type": F.col("resolved_file").isNotNull() & t.is_blank(F.col("resolved_file")),
         },
     )
 
 
-def check_trees(docs: DataFrame, nodes: DataFrame, source: DataFrame, config: Config) -> DataFrame:
+def check_trees(docs: DataFrame, nodes: DataFrame, source: DataFrame, config: Config, refs: DataFrame | None = None) -> DataFrame:
     """All findings on trees, structure, coverage and staleness; coverage of documents that have both source and tree."""
     held = nodes.join(source.select("file"), "file", "left_semi")
     known = source.join(docs.select("file"), "file", "left_semi")
     parts = [check_roots(docs, config), check_shape(nodes, docs, config), check_ids(nodes), check_coverage(held, known), check_sources(docs, source)]
+    if refs is not None:
+        parts.append(check_cross_refs(refs))
     return reduce(DataFrame.unionByName, parts)
 
 

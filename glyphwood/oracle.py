@@ -398,7 +398,7 @@ ORACLE: dict[str, str] = {
         "SELECT file, node_id, code FROM (SELECT file, node_id, 'content_ref_order' AS code FROM broken WHERE line_start > line_end "
         "UNION ALL SELECT b.file, node_id, 'content_ref_out_of_bounds' FROM broken b JOIN typed USING (file) WHERE b.line_end > total "
         "UNION ALL SELECT file, node_id, 'heading_missing' FROM broken WHERE heading IS NULL "
-        "UNION ALL SELECT file, NULL, 'overlapping_leaf_ranges' FROM (SELECT b.file, x.n FROM broken b JOIN (SELECT unnest(generate_series(1, 100000)) AS n) x ON x.n BETWEEN b.line_start AND b.line_end WHERE b.line_start IS NOT NULL GROUP BY b.file, x.n HAVING count(*) > 1) "
+        "UNION ALL SELECT file, NULL, 'overlapping_leaf_ranges' FROM (SELECT b.file, x.n FROM broken b JOIN (SELECT unnest(generate_series(1, 100000)) AS n) x ON x.n BETWEEN b.line_start AND b.line_end JOIN fronts f ON f.file = b.file AND x.n <= f.total WHERE b.line_start IS NOT NULL GROUP BY b.file, x.n HAVING count(*) > 1) "
         "UNION ALL SELECT file, NULL, 'uncovered_substantive_lines' FROM (SELECT DISTINCT l.file FROM lines l JOIN (SELECT DISTINCT file FROM tree) USING (file) LEFT JOIN broken b ON b.file = l.file AND l.n BETWEEN b.line_start AND b.line_end WHERE l.substantive AND l.level = 0 AND b.file IS NULL))"
     ),
     "leaf_build": sql("SELECT file, doc_type, doc_group, tree_index, summary, CASE WHEN doc_type IN ('article', 'report') THEN lang END AS lang, CASE WHEN doc_type = 'article' THEN edition END AS edition, "

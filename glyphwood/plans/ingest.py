@@ -92,7 +92,8 @@ def publish(store: Store, built: Built, merged: Merged, config: Config, mode: st
     indexed = store.table("leaves") if store.current() else None
     broken = merged.findings.filter("scope = 'structure'")
     decided = stage("decided", publication.decide(merged.leaves, merged.docs, broken, built.sources, indexed, mode))
-    return publication.publish(store, {"docs": merged.docs, "nodes": merged.nodes, "aliases": built.aliases}, decided, config, mode, dry_run)
+    refs = stage("cross_refs", references(built))
+    return publication.publish(store, {"docs": merged.docs, "nodes": merged.nodes, "aliases": built.aliases, "cross_refs": refs}, decided, config, mode, dry_run)
 
 
 def ingest(store: Store, sources: DataFrame, config: Config, model: semantic.Summariser = semantic.extractive, mode: str = "ingest", dry_run: bool = False, date_added: str | None = None) -> dict[str, Any]:
@@ -122,8 +123,7 @@ def sync(store: Store, sources: DataFrame, config: Config, model: semantic.Summa
         if not dry_run:
             if report.get("remove"):
                 gone = plan.filter("action = 'remove'").select("file")
-                tables = {k: store.table(k).join(gone, "file", "left_anti") for k in ("docs", "nodes", "leaves")}
-                store.publish(tables, {"mode": "remove", "removed": report["remove"]})
+                store.publish(publication.without(store, gone), {"mode": "remove", "removed": report["remove"]})
             for action in ("modify", "ingest"):
                 if report.get(action):
                     chosen = sources.join(plan.filter(F.col("action") == action).select("file"), "file", "left_semi")

@@ -277,7 +277,7 @@ def content_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    queue = tasks(spark, sf).select("task_id", "file", "kind", "path", "size")
+    queue = scratch.written(tasks(spark, sf).select("task_id", "file", "kind", "path", "size"), "queue")  # cutting ranges looks at it twice
     return semantic.pack(semantic.numbered(queue, "file", F.col("kind") == "root", "path"), CONFIG)
 
 

@@ -6,11 +6,11 @@ most, and repeating one changes nothing: a document whose fingerprint is known i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from glyphwood.config import Config
+from glyphwood.config import Config, EngineError
 from glyphwood.functions import text as t
 from glyphwood.operators import semantic
 from glyphwood.plans import ingest as plans
@@ -18,13 +18,23 @@ from glyphwood.sources.store import Store
 
 
 def sources_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of (file, content) as they arrive in a folder."""
-    return spark.readStream.schema("file string, content string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Parquet files of (file, content) as they arrive in a folder; the version of a row is its file's time."""
+    rows = spark.readStream.schema("file string, content string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return rows.select("file", "content", F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path")).alias("version"))
 
 
 def changed(batch: DataFrame, store: Store) -> DataFrame:
-    """The last version of each document of a batch, without those that the index has in this very version."""
-    one = batch.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.sha2("content", 256)))).filter("_n = 1").drop("_n")
+    """The last version of each document of a batch, by its column `version`, without those that the index has in this
+    very version. A stream without versions can't say which of several is the last, so its batches may hold each document
+    once only."""
+    if "version" in batch.columns:
+        latest = F.max_by("content", F.struct("version", F.sha2("content", 256)))
+        one = batch.groupBy("file").agg(latest.alias("content"))
+    else:
+        one = batch.select("file", "content").distinct()
+        twice = one.groupBy("file").count().filter("count > 1").select("file").limit(1).collect()
+        if twice:
+            raise EngineError("no_version", f"several texts of {twice[0][0]} in one batch, and no version column")
     if store.current() is None:
         return one
     had = store.table("docs").select("file", F.col("fingerprint.sha256").alias("_had"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from glyphwood.config import Config, EngineError, impact
 from glyphwood.operators import classify, cross_refs, maintenance, parse, publish, routing, search, semantic, tree
 from glyphwood.plans import ingest as plans
-from glyphwood.sources import vault
+from glyphwood.functions import text as t
+from glyphwood.sources import scratch, vault
 from glyphwood.sources.store import Store
 from glyphwood.streaming import follow
 
@@ -168,12 +169,89 @@ def test_remove_rebuild_rollback(published):
     assert store.table("leaves").count() == 6
     whole, lost = publish.rebuilt(store.table("docs"), CONFIG)
     assert whole.count() == 6 and lost.count() == 0
-    assert publish.rebuilt(store.table("docs").withColumn("root_summary", F.lit(None).cast("string")), CONFIG)[1].count() == 6
+    bare = store.table("docs").drop("index_metadata").withColumn("root_summary", F.lit(None).cast("string"))
+    assert publish.rebuilt(bare, CONFIG)[1].count() == 6
+
+
+def test_rebuild_is_lossless(published):
+    """The routing table made anew from the trees alone is the one that was published, fields of types and all."""
+    store, _ = published
+    due = store.table("leaves")
+    rows = sorted(map(str, due.collect()))
+    assert due.filter(F.map_contains_key("ext", "edition")).count() == 4
+    store.publish({"leaves": due.limit(0)}, {"mode": "lost"})
+    assert store.table("leaves").count() == 0
+    report = publish.rebuild(store, CONFIG)
+    assert report["rebuilt"] == 6 and not report["lost"] and ("c/flat.md",) in report["under_unknown"]
+    assert sorted(map(str, store.table("leaves").select(due.columns).collect())) == rows
+    assert store.table("postings").select("file").distinct().count() == 6
+
+
+def test_publication_writes_what_it_touches(published, sources):
+    """A changed document rewrites its buckets; all others are where they were, and nothing of it is left behind."""
+    store, _ = published
+    before = store.manifest()
+    texts = {"a/guide.md": samples.GUIDE + "More of it.\n"}
+    plans.ingest(store, sources(texts), CONFIG, model, "modify")
+    after, at = store.manifest(), store.current()
+    for name in ("docs", "nodes", "leaves", "postings"):
+        moved = {b for b, where in after["tables"][name]["at"].items() if where == at}
+        assert len(moved) == 1 and {b: w for b, w in after["tables"][name]["at"].items() if b not in moved} == {b: w for b, w in before["tables"][name]["at"].items() if b not in moved}
+    assert store.table("docs").groupBy("file").count().filter("count > 1").count() == 0 and store.table("docs").count() == 6
+    assert store.table("docs").filter("file = 'a/guide.md'").first().fingerprint.line_count == 27
+
+
+def test_answers_envelope_and_references(published, spark):
+    store, src = published
+    args = (store.table("leaves"), store.table("docs"), store.table("nodes"), src, CONFIG)
+    tables = {"aliases": store.table("aliases"), "refs": store.table("cross_refs"), "postings": store.table("postings")}
+    asked = spark.createDataFrame([(1, "how is the type washed with lye"), (2, "zebra"), (3, "what does b/old.md say of lye")], "query_id long, text string")
+    trail = search.explore(asked, *args, mode="aggregation", stage=scratch.stage, **tables)
+    got = {r.query_id: json.loads(r.answer) for r in search.envelope(asked, trail, CONFIG, "aggregation").collect()}
+    assert got[1]["status"] in ("ok", "partial") and got[1]["citations"][0]["file"] == "a/guide.md" and got[1]["tree_budget_used"].endswith(" / 75")
+    assert got[2]["citations"] == [] and got[2]["confidence"] == "low" and got[2]["citation_verification"] == "not run"
+    assert any(w.startswith("alias_resolved: b/old.md -> ") for w in got[3]["warnings"])
+    prose = {r.query_id: r.answer for r in search.envelope(asked, trail, CONFIG, "aggregation", prose=True).collect()}[1]
+    assert "a/guide.md > Cleaning > lines 24-25" in prose and "Node budget: " in prose
+    whole = json.loads(search.answer(asked.filter("query_id = 1"), *args, mode="aggregation", verify=True, stage=scratch.stage, **tables).first().answer)
+    assert whole["citation_verification"] == "failed" and whole["confidence"] == "low" and whole["deep_mode"] in (True, False)
+
+
+def test_routing_descent_reads_top_down(spark):
+    rows = [(f"g{k % 3}/d{k}.md", "t", f"g{k % 3}", [], f"word{k} common" if k % 3 else "zebra common", None) for k in range(30)]
+    leaves = spark.createDataFrame(rows, "file string, doc_type string, doc_group string, topics array<string>, summary string, tree_index string")
+    asked = spark.createDataFrame([(1, "a zebra"), (2, "nothing here")], "query_id long, text string")
+    config = CONFIG.with_(hierarchy_fields=("doc_group", "doc_type"))
+    way = search.routing_descent(asked, leaves, config, 15)
+    seen = sorted((r.query_id, r.depth, tuple(r.path), r.file) for r in way.visited.collect() if r.query_id == 1)
+    assert [x[:3] for x in seen] == [(1, 0, ()), (1, 1, ("g0",)), (1, 2, ("g0",)), (1, 2, ("g0",))]
+    assert [r.file for r in way.candidates.orderBy("rank").collect()] == ["g0/d0.md", "g0/d12.md"]
+    wide = search.routing_descent(asked, leaves, config, 15, "aggregation")
+    assert wide.visited.filter("query_id = 2").count() == 15 and {r.query_id for r in wide.exhausted.collect()} == {1, 2}
+
+
+def test_references_are_followed_once(spark):
+    """From what was retrieved, to a node of the same document, to another document, and to nothing."""
+    node = lambda file, k, word, leaf=True: (file, f"{file}_{k}", [k], 1, True, f"Part {k}", [f"Part {k}"], word, k + 1, k * 3 + 1, k * 3 + 3, k * 3 + 3, None, None)
+    nodes = spark.createDataFrame([node("a.md", 0, "zebra"), node("a.md", 1, "other"), node("a.md", 2, "third"), node("b.md", 0, "zebra"), node("b.md", 1, "none")],
+        "file string, node_id string, path array<int>, depth int, is_leaf boolean, heading string, heading_path array<string>, summary string, line int, line_start int, line_end int, block_end int, page_start int, page_end int")
+    refs = spark.createDataFrame([("a.md", "a.md_0", "intra", "see part 2", "a.md_2", None), ("a.md", "a.md_0", "inter", "b.md", None, "b.md"), ("a.md", "a.md_0", "inter", "c.md", None, "c.md"), ("a.md", "a.md_0", "intra", "see nothing", None, None)],
+        "file string, node_id string, type string, raw string, resolved_node string, resolved_file string")
+    text = "\n".join(f"line {n} zebra" for n in range(1, 10))
+    src = spark.createDataFrame([("a.md", text), ("b.md", text)], "file string, content string")
+    docs = src.select("file", t.fingerprint(F.col("content")).alias("fingerprint"), F.lit(2).alias("schema_version"))
+    leaves = spark.createDataFrame([("a.md", "guide", "x", [], "zebra", None), ("b.md", "guide", "x", [], "nothing", None)], "file string, doc_type string, doc_group string, topics array<string>, summary string, tree_index string")
+    asked = spark.createDataFrame([(1, "zebra")], "query_id long, text string")
+    trail = search.explore(asked, leaves, docs, nodes, src, CONFIG, refs=refs, stage=scratch.stage)
+    got = {(r.file, r.node_id): r.via for r in trail.cited.collect()}
+    assert got == {("a.md", "a.md_0"): None, ("a.md", "a.md_2"): "a.md_0: see part 2", ("b.md", "b.md_0"): "a.md_0: b.md"}
+    assert {(r.code, r.detail) for r in trail.notes.collect()} == {("dangling_reference", "a.md: c.md"), ("unresolved_reference", "a.md: see nothing")}
+    assert trail.used.first()._used == 1 + 1 + 1 + 1 + 1  # two roots, two peeks, one jump
 
 
 def test_search(published, spark):
     store, src = published
-    asked = spark.createDataFrame([(1, "how is the press type washed with lye"), (2, "the of and"), (3, "zebra")], "query_id long, text string")
+    asked = spark.createDataFrame([(1, "how is the type washed with lye"), (2, "the of and"), (3, "zebra")], "query_id long, text string")
     args = (store.table("leaves"), store.table("docs"), store.table("nodes"), src, CONFIG)
     cited = search.search(asked, *args, mode="aggregation").cache()
     best = cited.filter("query_id = 1 AND rank = 1").first()
@@ -308,3 +386,12 @@ def test_stream(spark, store, tmp_path, sources):
     assert run() != first
     assert sorted(r.file for r in store.table("leaves").collect()) == ["a/guide.md", "c/flat.md"]
     assert store.table("docs").filter("file = 'a/guide.md'").first().fingerprint.line_count == 27
+
+
+def test_stream_takes_the_last_version(spark, store, sources):
+    rows = [("a/x.md", "# A\nnew", 2), ("a/x.md", "# A\nold", 1), ("a/y.md", "# B\nonly", 1)]
+    for order in (rows, rows[::-1]):
+        got = follow.changed(spark.createDataFrame(order, "file string, content string, version int"), store)
+        assert {r.file: r.content for r in got.collect()} == {"a/x.md": "# A\nnew", "a/y.md": "# B\nonly"}
+    with pytest.raises(EngineError, match="no_version"):
+        follow.changed(spark.createDataFrame([r[:2] for r in rows], "file string, content string"), store)

@@ -123,6 +123,7 @@ def test_packing_over_many_blocks(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(semantic, "BLOCK", 16)
+    monkeypatch.setattr(semantic, "LINK", 4)
     rng = random.Random(5)
     sizes = [rng.choice([0, 5, 5, 9, 40, 120, 31]) for _ in range(700)]
     queue = spark.createDataFrame([(f"k{i:04}", s) for i, s in enumerate(sizes)], "task_id string, size long").repartition(7)

@@ -1,9 +1,11 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over bytes, so that it knows spelling, case, punctuation and layout of all languages at once. Trusted text is
-that of documents labelled good. The fit takes a bounded sample of it (TRAIN_ROWS documents, the least by a hash of their
-ids, whole). Everything else covers all rows: every document is scored whole, and thresholds are quantiles over all
-trusted documents of a language.
+that of documents labelled good; the fit counts all of it. Every document is scored whole, and thresholds are quantiles over
+all trusted documents of a language.
+
+Few texts travel to meet the labels: a bitmap of hashed trusted ids (MOST_BITS at most) goes to the tasks that read documents,
+and what passes it is joined with the ids, so what passes by chance goes again. Tasks count before they send.
 
 Counts and questions are sharded by the same two bytes of an n-gram, the ones before the last two but one and before the
 last: an n-gram of three bytes or more, its suffixes down to three bytes and all their contexts have them in common, so a
@@ -35,7 +37,12 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from .common import checkpointed, pack, pack_sorted, small_batches, table, text_bytes, tidy, unpack, unpack_sorted, written
 
 ORDER = 5
-TRAIN_ROWS = 4000
+#: Bits of the bitmap for each trusted id, and in all at most; with more ids more texts pass by chance and are joined in vain.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Bits of a row in which Spark hands the bitmap over.
+ROW_BITS = 1 << 15
+#: Distinct n-grams that a task of the fit holds before it sends their counts.
+HELD = 1_000_000
 #: A document is rejected beyond the language's median plus SPREADS times the distance from there to the upper quantile.
 UPPER, SPREADS, FEWEST = 0.98, 5.0, 30
 #: Bytes of text of a block, and bytes looked at together.
@@ -133,20 +140,82 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1 AND doc_id IS NOT NULL").select("doc_id")
 
 
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A power of two of bits, as bytes; the bits `places` of every id are set."""
+    bits = ROW_BITS
+    while bits < min(ids.count() * BITS_EACH, MOST_BITS):
+        bits *= 2
+    place = F.explode(F.array(*[p + 1 for p in places(bits)]))  # Spark's bitmaps count from 1
+    rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b"))
+    out = np.zeros((bits // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows.collect():
+        out[r.k - 1] = np.frombuffer(r.b, np.uint8)
+    return out.reshape(-1)
+
+
+def places(bits: int) -> list[Column]:
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The compressed text of every row whose document is trusted."""
+    ids = checkpointed(trusted_ids(labels).select(F.col("doc_id").cast("long")))
+    held = bitmap(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            passed = np.ones(b.num_rows, bool)
+            for column in b.columns[2:]:
+                at = column.to_numpy()
+                passed &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            if passed.any():
+                few = b.filter(pa.array(passed))
+                packed = pa.array([small.compress(t.encode()) for t in few.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), packed], names=["doc_id", "packed"])
+
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
+    one, two = places(8 * len(held))
+    few = texts.select(F.col("doc_id").cast("long"), "text", one.alias("one"), two.alias("two")).mapInArrow(tidy("quality", run), "doc_id long, packed binary")
+    return few.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("packed")
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and their counts, added up."""
+    grams, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    by = np.argsort(grams)
+    grams = grams[by]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    return grams[first], np.add.reduceat(counts[by], first)
+
+
 def train_counts(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """shard, gram, c: n-grams of the training sample."""
-    fit = docs.filter(F.octet_length("text") > 0).select("doc_id", F.xxhash64("doc_id").alias("h"))
-    chosen = fit.join(trusted_ids(labels), "doc_id", "left_semi").orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id").distinct()
-    texts = docs.filter(F.octet_length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    """shard, gram, c: n-grams of all trusted text."""
+
+    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        grams, counts = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(shard_of(grams)), pa.array(grams), pa.array(counts)], names=["shard", "gram", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        new = 0  # n-grams of parts that aren't merged yet
+        plain = zstandard.ZstdDecompressor()
         for b in batches:
-            for group in sliced([t.encode() for t in b.column(0).to_pylist()]):
-                grams, counts = np.unique(grams_of(group, order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(grams)), pa.array(grams), pa.array(counts)], names=["shard", "gram", "c"])
+            for group in sliced([plain.decompress(t) for t in b.column(0).to_pylist()]):
+                parts.append(np.unique(grams_of(group, order)[0], return_counts=True))
+                new += len(parts[-1][0])
+                if new >= HELD:
+                    parts, new = [merged(parts)], 0
+                    if len(parts[0][0]) >= HELD:
+                        yield told(parts)
+                        parts = []
+        if parts:
+            yield told(parts)
 
     small_batches(docs.sparkSession)
-    return texts.mapInArrow(tidy("quality", run), "shard int, gram long, c long").groupBy("shard", "gram").agg(F.sum("c").alias("c"))
+    counted = trusted_texts(docs, labels).mapInArrow(tidy("quality", run), "shard int, gram long, c long")
+    return counted.groupBy("shard", "gram").agg(F.sum("c").alias("c"))
 
 
 def orders(grams: np.ndarray, counts: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:

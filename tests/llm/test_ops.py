@@ -403,6 +403,25 @@ def test_quality_lm(spark, folder):
                 assert r.perplexity is None and r.kept is False
 
 
+@pytest.mark.parametrize(("held", "bits"), [(1_000_000, 1 << 28), (300, 1)])
+def test_quality_fit_takes_all_trusted_text(spark, tmp_path, monkeypatch, held, bits):
+    """More trusted documents than a sample would hold; counts sent many times, and a bitmap so small that others pass it."""
+    import random
+
+    monkeypatch.setattr(quality_lm, "HELD", held)
+    monkeypatch.setattr(quality_lm, "MOST_BITS", bits)
+    monkeypatch.setattr(quality_lm, "SLICE", 2_000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcde é") for _ in range(rng.randint(1, 9))) for _ in range(9000)]
+    docs = spark.createDataFrame([(k * k, t, "en") for k, t in enumerate(texts)] + [(0, texts[0], "de"), (None, "zzz", "en"), (4, None, "en"), (9, "", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k * k, int(k % 2 == 0)) for k in range(9000)] + [(None, 1)], "doc_id long, quality int")
+    p = brute.kneser_ney([t.encode() for t in [*texts[::2], texts[0]]], quality_lm.ORDER)
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    rows = by_key(quality_lm.classify(spark.read.parquet(f"{tmp_path}/docs"), labels).collect(), "doc_id")
+    for k in range(0, 9000, 7):
+        assert any(r.perplexity and math.isclose(r.perplexity, brute.perplexity(p, texts[k].encode(), quality_lm.ORDER), rel_tol=1e-6) for r in rows[k * k])
+
+
 def quantile(values: list[float], q: float) -> float:
     return sorted(values)[max(math.ceil(q * len(values)) - 1, 0)]
 

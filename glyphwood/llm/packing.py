@@ -15,6 +15,7 @@ order of (id, piece); repeated rows are packed one by one.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc, keeps, map_arrow, table, tidy
 
 CAPACITY = 2048
-#: Chunks between white space, and words, whose ids a worker keeps.
+#: Chunks between white space, and words, whose ids a worker keeps; as many again that weren't met since.
 MOST_KEPT = 300_000
 #: With other characters than these, a text goes through the library whole: ASCII, and letters and signs of Latin scripts
 #: but numerals (² to ¹, fractions) and U+0130, on which splitting or lower-casing may differ.
@@ -43,7 +44,7 @@ TRAILING = r"([\p{L}\p{N}])([^\s\p{L}\p{N}']+)(\s)", r"\1 \2\3"
 #: Marks the last token of a word.
 WORD_END = "</w>"
 #: Words given to the library in one text.
-TOGETHER = 2000
+TOGETHER = 200
 
 
 def is_plain(text: str) -> bool:
@@ -68,7 +69,13 @@ class ChunkTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.kept: dict[str, bytes] = {}
+        # plain words need no normalising and are split already
+        bare = json.loads(self.library.to_str())
+        blanks, in_bytes = {"type": "WhitespaceSplit"}, bare["pre_tokenizer"]["pretokenizers"][-1]
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, in_bytes]}, "added_tokens": []}
+        self.words = Tokenizer.from_str(json.dumps(bare))
+        self.kept: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -76,17 +83,24 @@ class ChunkTokenizer:
     def _learn_words(self, new: list[str]) -> None:
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) == len(some):
                 self.kept.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
             else:
                 self.kept.update(zip(some, self.whole(some), strict=True))
 
+    def _recall(self, some: set[str]) -> set[str]:
+        """Takes over what was kept before. Returns the rest."""
+        known = {c: self.before[c] for c in some if c in self.before}
+        self.kept.update(known)
+        return some.difference(known)
+
     def _learn(self, chunks: set[str]) -> None:
+        chunks = self._recall(chunks)
         several = {c: p for c in chunks if not c.isalpha() and len(p := WORD.findall(c)) > 1}
         words = {w for p in several.values() for w in p if w not in self.kept}
-        self._learn_words(list(words.union(chunks.difference(several))))
+        self._learn_words(list(self._recall(words).union(chunks.difference(several))))
         self.kept.update((c, b"".join([self.kept[w] for w in p])) for c, p in several.items())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -99,8 +113,8 @@ class ChunkTokenizer:
         chunks = coded.dictionary.to_pylist()
         new = set(chunks).difference(self.kept)
         if len(self.kept) + len(new) > MOST_KEPT:
-            self.kept.clear()
-            new = set(chunks)
+            self.kept, self.before = {"": b""}, self.kept
+            new = set(chunks).difference(self.kept)
         self._learn(new)
         own = list(map(self.kept.__getitem__, chunks))
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4

@@ -334,6 +334,21 @@ def test_word_tokenizer_equals_the_library():
     assert own.encode_batch(texts) == own.whole(texts)
 
 
+def test_word_tokenizer_when_full(monkeypatch):
+    """All plain characters at all places of words; words met again and again are asked for once, though many others come."""
+    from public_tokenizers import path
+
+    own = packing.ChunkTokenizer(path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "MOST_KEPT", 20)
+    texts = [f"{c} a{c} {c}b A{c}B {c}{c}" for c in map(chr, range(0x21, 0x250)) if packing.is_plain(c)]
+    assert len(texts) > 500 and [own.encode_batch([t])[0] for t in texts] == own.whole(texts)
+    asked, learn = Counter(), own._learn_words
+    monkeypatch.setattr(own, "_learn_words", lambda new: (asked.update(new), learn(new)))
+    for k in range(100):
+        own.encode_batch([f"  common word\t{chr(97 + k % 26) * (2 + k // 26)}zq"])
+    assert asked["common"] == asked["word"] == 1 and len(asked) == 102
+
+
 def test_media(spark, folder):
     rows = by_key(media.op4_media_columns(spark, folder).collect(), "doc_id")
     for i, t, *_ in DOCS:

@@ -11,6 +11,7 @@ from glyphwood.config import Config
 from glyphwood.functions import text as t
 
 HEX64 = "^[0-9a-f]{64}$"
+RESOLVED = ("resolved_node", "resolved_file")
 
 
 def _rules(df: DataFrame, node: Column, rules: dict[str, Column], detail: Column | None = None) -> DataFrame:
@@ -135,10 +136,8 @@ def check_sources(docs: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def check_cross_refs(refs: DataFrame) -> DataFrame:
-    """refs(file, node_id, idx, type, raw, target, resolved_node, resolved_file). A column that isn't there is missing in all."""
-    absent = [c for c in ("resolved_node", "resolved_file") if c not in refs.columns]
-    for c in absent:
-        refs = refs.withColumn(c, F.lit(None).cast("string"))
+    """refs(file, node_id, idx, type, raw, target, resolved_node, resolved_file): rules on the fields that are there."""
+    node, file = (F.col(c) if c in refs.columns else F.lit(None).cast("string") for c in RESOLVED)
     return _rules(
         refs,
         F.col("node_id"),
@@ -146,21 +145,24 @@ def check_cross_refs(refs: DataFrame) -> DataFrame:
             "cross_ref_type": ~F.coalesce(F.col("type").isin("intra", "inter"), F.lit(False)),
             "cross_ref_raw": t.is_blank(F.col("raw")),
             "cross_ref_target": t.is_blank(F.col("target")),
-            "cross_ref_resolved_node_missing": F.lit("resolved_node" in absent),
-            "cross_ref_resolved_file_missing": F.lit("resolved_file" in absent),
-            "cross_ref_resolved_node_type": F.col("resolved_node").isNotNull() & t.is_blank(F.col("resolved_node")),
-            "cross_ref_resolved_file_type": F.col("resolved_file").isNotNull() & t.is_blank(F.col("resolved_file")),
+            "cross_ref_resolved_node_type": node.isNotNull() & t.is_blank(node),
+            "cross_ref_resolved_file_type": file.isNotNull() & t.is_blank(file),
         },
     )
 
 
+def check_cross_ref_fields(refs: DataFrame) -> DataFrame:
+    """Every reference must carry its resolutions, null or not: a column that isn't there is missing in all."""
+    return _rules(refs, F.col("node_id"), {f"cross_ref_{c}_missing": F.lit(c not in refs.columns) for c in RESOLVED})
+
+
 def check_trees(docs: DataFrame, nodes: DataFrame, source: DataFrame, config: Config, refs: DataFrame | None = None) -> DataFrame:
     """All findings on trees, structure, coverage and staleness; coverage of documents that have both source and tree."""
     held = nodes.join(source.select("file"), "file", "left_semi")
     known = source.join(docs.select("file"), "file", "left_semi")
     parts = [check_roots(docs, config), check_shape(nodes, docs, config), check_ids(nodes), check_coverage(held, known), check_sources(docs, source)]
     if refs is not None:
-        parts.append(check_cross_refs(refs))
+        parts += [check_cross_refs(refs), check_cross_ref_fields(refs)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -109,6 +109,17 @@ def test_cross_ref_rules(spark):
     assert {c for c, _ in codes(validate.check_cross_refs(refs))} == {"cross_ref_type", "cross_ref_raw", "cross_ref_target"}
 
 
+def test_cross_ref_fields(spark, sources):
+    """Absent fields are told of with the trees; blank ones with the references."""
+    m, docs, nodes = made(sources, {"a/guide.md": samples.GUIDE})
+    refs = spark.createDataFrame([("f", "n", "intra", "r", "t", " "), ("f", "o", "inter", "r", "t", None)], "file string, node_id string, type string, raw string, target string, resolved_file string")
+    assert codes(validate.check_cross_refs(refs)) == [("cross_ref_resolved_file_type", "n")]
+    due = [("cross_ref_resolved_file_type", "n"), ("cross_ref_resolved_node_missing", "n"), ("cross_ref_resolved_node_missing", "o")]
+    assert codes(validate.check_trees(docs, nodes, m, CONFIG, refs)) == due
+    whole = refs.withColumn("resolved_node", F.lit(None).cast("string"))
+    assert codes(validate.check_cross_ref_fields(whole)) == []
+
+
 def greedy(sizes, most, chars):
     out, batch, n, total = [], 1, 0, 0
     for s in sizes:

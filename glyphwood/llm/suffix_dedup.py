@@ -259,11 +259,13 @@ def cut_out(ids: list, sizes: np.ndarray, raw: bytes, covered: np.ndarray) -> It
 
 
 def covering(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Bytes under windows first .. last of each pair."""
-    delta = np.zeros(n + 1, np.int32)
-    np.add.at(delta, first, 1)
-    np.add.at(delta, last + length, -1)
-    return (np.cumsum(delta[:n], dtype=np.int32) > 0).astype(np.uint8)
+    """Bytes under windows first .. last of each pair. Both ascend, so pairs that meet are neighbours."""
+    edges = np.zeros(n + 1, np.int8)
+    if len(first):
+        apart = first[1:] > last[:-1] + length
+        edges[first[np.concatenate([[True], apart])]] = 1
+        edges[last[np.concatenate([apart, [True]])] + length] = -1
+    return np.cumsum(edges[:n], dtype=np.int8).view(np.uint8)
 
 
 def digest(rows: Iterator[tuple]) -> pd.DataFrame:

@@ -506,6 +506,26 @@ def test_suffix_dedup(spark, folder):
     assert sum(map(len, rows.values())) == len(DOCS)
 
 
+def test_covered_bytes():
+    """By hand, and in a few bytes of memory for each byte of text."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n, length = rng.randint(9, 60), rng.choice([1, 3, 8])
+        cuts = sorted(rng.sample(range(n - length + 1), rng.randint(0, (n - length + 1) // 2) * 2))
+        pairs = list(zip(cuts[::2], cuts[1::2], strict=True)) if rng.random() < 0.5 else [(c, c) for c in cuts]
+        due = [int(any(a <= k < b + length for a, b in pairs)) for k in range(n)]
+        assert suffix_dedup.covering(n, np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64), length).tolist() == due
+    tracemalloc.start()
+    assert suffix_dedup.covering(1_000_000, np.array([5, 90]), np.array([7, 90]), 200).sum() == 285
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def test_suffix_dedup_of_dense_repeats(spark):
     """Few letters, so that anchors differ and windows are refined; and passages that start at any offset."""
     import random

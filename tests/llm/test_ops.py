@@ -403,6 +403,13 @@ def test_pattern_rules(spark):
         url_filter.filter_urls(rows, hosts=[url_filter.HOST_RULES[0]] * (url_filter.MOST_RULES + 1))
 
 
+def test_host_rules(spark):
+    """The contract's verdicts, word by word, also against what a pattern rule says."""
+    due = {"http://a.com/en/": "block", "http://example.com/en/7": "allow", "http://x.net/de/7": "allow", "http://casino-x.net/de/7": "allow", "http://example.net/de/8": "block", "http://a.org/es/": "block", "http://a.org/de/": "allow"}
+    rows = spark.createDataFrame([(u,) for u in due], "url string").selectExpr("url AS page_id", "url")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(rows).collect()} == due
+
+
 def test_quality_lm(spark, folder):
     rows = by_key(quality_lm.op7_quality_lm(spark, folder).collect(), "doc_id")
     labels = [(i, int(i % 3 != 0)) for i, *_ in DOCS if i is not None]

@@ -24,7 +24,7 @@ EMPTY_PHRASES = {
 def _pattern(form: str) -> str:
     """Word ends by ASCII and white space as one class."""
     out = form.replace(r"\b", "(?![A-Za-z0-9_])").replace(r"\s", f"[{t.SPACE}]").replace("$", r"\z")
-    return out.replace("(?i)(?![A-Za-z0-9_])", "(?i)(?<![A-Za-z0-9_])")
+    return t.quick(out.replace("(?i)(?![A-Za-z0-9_])", "(?i)(?<![A-Za-z0-9_])"))
 
 
 def codes(summary: Column, heading: Column, is_root: Column, config: Config) -> Column:
